@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, sharding
+from . import packing, quality, secrets, segmentation, sharding
 
-MODULES = [secrets, quality, sharding]
+MODULES = [secrets, packing, segmentation, quality, sharding]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
