@@ -179,6 +179,19 @@ def packed_tight(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarra
         gaps = np.concatenate([gaps, g])
 
 
+def placer(level: int, length: str, capacity: int):
+    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_n", kind="stable").reset_index(drop=True)
+        bins, offsets, gaps = packed_tight(pdf[length].to_numpy(np.int64), capacity)
+        out = pdf.drop(columns="_g")
+        out["sequence_id"] = (np.int64(level) << 56) + (np.int64(key[0]) << 20) + bins
+        out["offset"] = offsets
+        out["_full"] = gaps[bins] == 0
+        return out
+
+    return place
+
+
 def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """rows with sequence_id and offset: every row is placed once."""
     schema = rows.schema
@@ -190,18 +203,9 @@ def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, grou
         groups = max(1, -(-n // (group if level == 0 else group // 16)))
         last = groups == 1
 
-        def place(key: tuple, pdf: pd.DataFrame, level: int = level) -> pd.DataFrame:
-            pdf = pdf.sort_values("_n", kind="stable").reset_index(drop=True)
-            bins, offsets, gaps = packed_tight(pdf[length].to_numpy(np.int64), capacity)
-            out = pdf.drop(columns="_g")
-            out["sequence_id"] = (np.int64(level) << 56) + (np.int64(key[0]) << 20) + bins
-            out["offset"] = offsets
-            out["_full"] = gaps[bins] == 0
-            return out
-
         dealt = left.withColumn("_g", F.pmod(F.xxhash64("_n", F.lit(level)), F.lit(groups).cast("long")))
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", _n bigint, sequence_id bigint, offset bigint, _full boolean"
-        placed = dealt.groupBy("_g").applyInPandas(place, types)
+        placed = dealt.groupBy("_g").applyInPandas(placer(level, length, capacity), types)
         if last:
             out = placed.drop("_n", "_full")
             return done.unionByName(out) if done is not None else out
