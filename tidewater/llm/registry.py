@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunks, licenses, packing, quality, secrets, segmentation, sharding
+from . import chunks, licenses, neardup, packing, quality, secrets, segmentation, sharding, vectors
 
-MODULES = [secrets, packing, segmentation, quality, sharding, chunks, licenses]
+MODULES = [secrets, neardup, packing, segmentation, quality, sharding, chunks, licenses, vectors]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
