@@ -198,9 +198,9 @@ def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, grou
     left = cut(rows.withColumn("_n", F.monotonically_increasing_id()), "pieces")
     done = None
     n = left.count()
-    level = 0
+    level, groups = 0, None
     while True:
-        groups = max(1, -(-n // (group if level == 0 else group // 16)))
+        groups = max(1, -(-n // group)) if groups is None else max(1, min(groups // 2, -(-n // (group // 16))))
         last = groups == 1
 
         dealt = left.withColumn("_g", F.pmod(F.xxhash64("_n", F.lit(level)), F.lit(groups).cast("long")))
