@@ -3,25 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import quality, secrets
+from tidewater.llm import neardup, packing, quality, secrets, suffixes
 from tidewater.llm._store import cut
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text where a stage has changed it."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules' posterior rejects go."""
     return quality.keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are near copies of each other (shingles of five words, similarity 0.8), one stays."""
+    return neardup.deduplicated(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes and more that stand elsewhere too are cut out of the texts."""
+    return counted(suffixes.without_repeats(docs))
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redacted(docs)
+    """Secrets are masked in the texts."""
+    return counted(secrets.redacted(docs))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document, its token ids and its place in a sequence."""
+    return packing.packed(docs)
 
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("secret scan", secret_scan),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("secret scans", secret_scan),
+    ("best-fit packing", best_fit_packing),
 ]
 
-#: The stages before the last need EM, signatures and hashes that SQL can't express; tests hold run() against brute force.
+#: EM, signatures, suffix hashes and packing can't be said in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
