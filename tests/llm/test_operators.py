@@ -1,0 +1,370 @@
+"""Every operator against brute force on a small table of awkward rows, and on an empty one."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.llm import chunks, licenses, neardup, packing, quality, secrets, segmentation, sharding, suffixes, vectors
+from tidewater.llm._graph import components
+
+WORD = re.compile("[^\x20\x09-\x0D]+")
+
+
+def same(got, expected):
+    assert Counter(got) == Counter(expected)
+
+
+def test_secret_base(docs, rows):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+    def base(t):
+        out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+    got = [(r["row"]["doc_id"], tuple(tuple(x) for x in sorted(r["base"]))) for r in secrets.scanned(docs, ["doc_id"]).collect()]
+    same(got, [(i, tuple(base(t or ""))) for i, t in rows])
+
+
+def test_weak_secrets_need_their_complement(docs):
+    found = {r["row"]["text"]: {secrets.KINDS[x["kind"]] for x in r["found"]} for r in secrets.scanned(docs, ["text"]).collect() if r["row"]["text"]}
+    assert next(v for k, v in found.items() if k.startswith("user: alice99")) == {"user", "key", "host"}
+    assert next(v for k, v in found.items() if k.endswith(" alone")) == set()
+
+
+def test_many_secrets_in_a_text(spark):
+    text = "token=abcdefgh " * 3000
+    row = secrets.scanned(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), ["doc_id"]).first()
+    assert [(x["start"], x["end"]) for x in row["base"]] == [(15 * i, 15 * i + 14) for i in range(3000)]
+
+
+def test_redaction(docs, rows):
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(docs).where("doc_id IS NOT NULL").collect()}
+    clean = {i: t for i, t in rows if not t or "token" not in t and "user: " not in t}
+    assert all(out[i] == t for i, t in clean.items() if i not in (7, None))
+    assert not any(t and ("hunter22" in t or "alice99" in t or "AKIA" in t) for t in out.values())
+    assert secrets.redacted(docs).columns == docs.columns
+
+
+def brute_components(rows, n, lower=True):
+    sets, least = [], {}
+    for i, t in rows:
+        w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            k = len(sets[a] & sets[b])
+            if k and 100 * k >= 80 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    for a, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(a)] = min(least.get(find(a), i), i)
+    return sets, [least.get(find(a)) if sets[a] else rows[a][0] for a in range(len(rows))]
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_minhash(docs, rows, n):
+    sets, root = brute_components(rows, n)
+    got = [(r["id"], r["n_shingles"], r["component"]) for r in neardup.grouped(docs, ["doc_id"], n).collect()]
+    same(got, [(i, len(s), c) for (i, _), s, c in zip(rows, sets, root, strict=True)])
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_minhash_chains_with_odd_members(spark, monkeypatch, rounds):
+    """Long chains of near copies, where the pivot of a list is not within reach of all: links in steps only."""
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "TILE", 5)
+    rng = np.random.default_rng(3)
+    rows = []
+    for chain in range(4):
+        w = [f"c{chain}x{k}" for k in range(150)]
+        for step in range(12):
+            for k in rng.choice(150, 2, replace=False):
+                w[k] = f"c{chain}s{step}k{k}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    _, root = brute_components(rows, 4)
+    assert {r["id"]: r["component"] for r in neardup.grouped(df, ["doc_id"], 4).collect()} == dict(zip(range(len(rows)), root, strict=True))
+
+
+def test_deduplicated_keeps_one_of_each(docs, rows):
+    out = neardup.deduplicated(docs, 4)
+    assert out.columns == docs.columns
+    sets, root = brute_components(rows, 4)
+    wordless = sum(not s for s in sets)
+    assert out.count() == len({c for c, s in zip(root, sets, strict=True) if s}) + wordless
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(5, 5), (None, 3)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)}
+
+
+def test_packing(docs, rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    expected = Counter()
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 2048):
+            p = ids[k : k + 2048]
+            expected[(i, k // 2048, k, len(p), zlib.crc32(np.array(p, "<u4").tobytes()), tuple(p))] += 1
+    out = packing.packed(docs).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], tuple(r["ids"])) for r in out) == expected
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(r["length"] for r in out)
+    assert len(bins) <= -(-total // 2048) + 1
+
+
+def test_packing_levels(spark):
+    rng = np.random.default_rng(1)
+    sizes = np.minimum(rng.geometric(1 / 400, 900), 2048).tolist()
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "k bigint, length bigint")
+    out = packing.pack(df, group=128).collect()
+    assert sorted(r["k"] for r in out) == list(range(900))
+    bins = defaultdict(int)
+    for r in out:
+        bins[r["sequence_id"]] += r["length"]
+    assert max(bins.values()) <= 2048 and len(bins) <= 1.02 * sum(sizes) / 2048 + 2
+
+
+def test_words_are_encoded_as_texts_are():
+    from tokenizers import Tokenizer
+
+    t, w = Tokenizer.from_file(packing.default_vocabulary()), packing.WordIds(packing.default_vocabulary())
+    for x in ("It's <|endoftext|> x<|startoftext|>y", "ÀÉ çedilla Straße İstanbul ΑΣ 12a3", "é a b c\x1cd \x85", "'S can't we'll--ok (824) $$%%", "ﬁ ½ 日本語 😀😀", "don’t O'Neil's"):
+        ids, ends = w.encode([x.encode()])
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
+        assert ends.tolist() == [len(ids)]
+
+
+def test_segmentation(docs, rows):
+    out = segmentation.segmented(docs).collect()
+    assert all(r["lossless"] for r in out)
+    same([(r["doc_id"], r["text_crc32"]) for r in out], [(i, zlib.crc32((t or "").encode())) for i, t in rows])
+    again = segmentation.segmented(docs.repartition(5)).collect()
+    same([(r["doc_id"], tuple(r["ids"])) for r in out], [(r["doc_id"], tuple(r["ids"])) for r in again])
+    other = segmentation.segmented(docs, seed=2).collect()
+    assert sum(r["ids_crc32"] for r in other) != sum(r["ids_crc32"] for r in out)
+
+
+def test_segmentation_is_distributed_as_the_lattice_says():
+    import math
+
+    lattice = segmentation.Lattice(segmentation.default_model())
+
+    def ways(s):
+        if not s:
+            yield ()
+        for k in range(1, len(s) + 1):
+            if s[:k] in lattice.scores:
+                for rest in ways(s[k:]):
+                    yield (s[:k], *rest)
+
+    weight = {w: math.exp(lattice.alpha * sum(lattice.scores[p][1] for p in w)) for w in ways("▁oning")}
+    names = {i: p for p, (i, _) in lattice.scores.items()}
+    n = 6000
+    seen = Counter(tuple(names[int(i)] for i in lattice.sample(["oning"], [k], 1)[0]) for k in range(n))
+    for w, c in weight.items():
+        assert abs(seen[w] / n - c / sum(weight.values())) < 0.03
+
+
+def test_quality(docs, rows):
+    def base(t):
+        w = WORD.findall(t)
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        count = Counter(windows)
+        covered = {k for i, x in enumerate(windows) if count[x] > 1 for k in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed
+
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    out = quality.judged(docs, ["doc_id"]).collect()
+    same([(r["row"]["doc_id"], *(r["m"][n] for n in names), r["failed"]) for r in out], [(i, *base(t or "")) for i, t in rows])
+    assert not any(r["kept"] and r["failed"] for r in out)
+    assert quality.keep_good(docs).columns == docs.columns
+
+
+def test_quality_finds_the_bad_class(spark):
+    rng = np.random.default_rng(2)
+    good = [(i, " ".join(f"word{x}" for x in rng.integers(0, 5000, 60)).replace("word", "abcdefg")) for i in range(300)]
+    bad = [(1000 + i, " ".join(f"ab{x}###" for x in rng.integers(0, 5000, 60))) for i in range(40)]
+    out = quality.judged(spark.createDataFrame(good + bad, "doc_id bigint, text string"), ["doc_id"]).collect()
+    kept = {r["row"]["doc_id"] for r in out if r["kept"]}
+    assert kept == {i for i, _ in good}
+
+
+def brute_repeats(rows):
+    where = Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        where.update(b[i : i + 400] for i in range(len(b) - 399))
+    for _, t in rows:
+        b = (t or "").encode()
+        covered = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - 399):
+            if where[b[i : i + 400]] > 1:
+                covered[i : i + 400] = True
+        covered = covered[:-1]
+        kept = np.frombuffer(b, np.uint8)[~covered].tobytes()
+        spans = int((np.diff(np.concatenate([[0], covered.astype(int)])) == 1).sum())
+        yield len(b), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("limit", [64, 2])
+def test_suffixes(spark, docs, rows, monkeypatch, tmp_path, limit):
+    monkeypatch.setattr(suffixes, "LIMIT", limit)
+    rows = [(i, t) for i, t in rows if t is None or len(t) < 20_000]
+    docs.where("text IS NULL OR length(text) < 20000").write.parquet(str(tmp_path / "documents.parquet"))
+    out = suffixes.op6_suffix_sort_dedup(spark, str(tmp_path)).collect()
+    same([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out], [(i, *x) for (i, _), x in zip(rows, brute_repeats(rows), strict=True)])
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(4)
+    strings = [bytes(rng.integers(97, 99, rng.integers(1, 30)).tolist()) for _ in range(300)]
+    at = np.array([rng.integers(0, len(s)) for s in strings])
+    group = rng.integers(0, 5, 300)
+    order = suffixes.Extensions(strings).sorted_suffixes(group, at)
+    got = [(group[i], strings[i][at[i] :]) for i in order]
+    assert got == sorted(got)
+
+
+def test_without_repeats(docs):
+    out = suffixes.without_repeats(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def test_sharding(docs, rows):
+    out = sharding.shard(docs, n_shards=5).toPandas()
+    same(zip(out["size"], out["text_crc32"], strict=True), [(len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in rows])
+    for _, s in out.groupby("shard")["slot"]:
+        assert sorted(s) == list(range(len(s)))
+
+
+def test_slot_map_edits(spark):
+    stats = spark.range(64).select(F.col("id").alias("virtual_slot"), (F.col("id") * 7 % 50 + 1).alias("bytes"), F.lit(1).cast("long").alias("n_rows"))
+    first = sharding.first_map(spark, 4, 64)
+    total = stats.agg(F.sum("bytes")).first()[0]
+    second = sharding.rebalanced(first, stats, 4).cache()
+    loads = [r["b"] for r in second.join(stats, "virtual_slot").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
+    assert second.select("virtual_slot").distinct().count() == 64 and max(loads) - min(loads) <= 0.05 * total / 4
+    third = sharding.grown(second, stats, 4)
+    moved = second.withColumnRenamed("shard", "a").join(third, "virtual_slot").where("a != shard")
+    assert {r["shard"] for r in moved.collect()} == {4}
+
+
+def test_chunks(docs, rows):
+    out = chunks.repeats(docs).collect()
+    same([(r["doc_id"], r["n_bytes"]) for r in out], [(i, len((t or "").encode())) for i, t in rows])
+    assert sum(r["n_removed"] for r in out) > 0
+    # what is left of all texts holds no chunk of MIN bytes twice, and every chunk once
+    pieces = Counter()
+    for _, t in rows:
+        b, a = (t or "").encode(), 0
+        for e in chunks.boundaries(np.frombuffer(b, np.uint8)):
+            pieces[b[a:e]] += 1
+            a = e
+    assert sum(r["n_removed"] for r in out) == sum(len(p) * (c - 1) for p, c in pieces.items() if len(p) >= chunks.MIN)
+
+
+def test_chunks_resist_insertions():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, 20_000).astype(np.uint8)
+    moved = np.concatenate([data[:5000], np.array([1, 2, 3], np.uint8), data[5000:]])
+
+    def pieces(x):
+        ends = chunks.boundaries(x)
+        return {x[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)}
+
+    a, b = pieces(data), pieces(moved)
+    assert len(a & b) >= len(a) - 6
+    slow = np.array([sum(int(chunks.GEAR[data[i - k]]) << k for k in range(min(32, i + 1))) % (1 << 32) for i in range(200)])
+    assert (chunks.gear_hashes(data[:200]) == slow).all()
+
+
+def test_licenses(docs, rows):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+    def base(t):
+        w = word.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t))
+        at = sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        return len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at}))
+
+    out = licenses.scanned(docs).collect()
+    same([(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in out], [(i, *base(t or "")) for i, t in rows])
+    fuzzy = {(x["label"], x["errors"]) for r in out for x in r["notices"]}
+    assert ("mit-notice", 2) in fuzzy
+    assert all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_every_notice_with_few_errors_is_found():
+    rng = np.random.default_rng(9)
+    s = licenses.Scanner()
+    for notice, label in licenses.NOTICES.items():
+        for _ in range(10):
+            t = list(notice)
+            for _ in range(licenses.errors_of(notice)):
+                k = int(rng.integers(1, len(t) - 1))
+                t[k : k + int(rng.integers(0, 2))] = ["q"] * int(rng.integers(0, 2))
+            assert label in {x[0] for x in s.fuzzy("before " + "".join(t) + " after")}
+
+
+@pytest.mark.parametrize("cell", [1536, 60])
+def test_vectors(spark, monkeypatch, cell):
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "SHARD", cell // 2)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16))
+    near = x[:40] + rng.normal(size=(40, 16)) * 0.12
+    hot = x[50] + rng.normal(size=(150, 16)) * 0.1
+    every = np.concatenate([x, near, hot, x[:5], x[60:61] * 3]).astype(np.float32)
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(every)] + [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] + [1.0] * 15, 1), (9004, [], 1), (9005, [1.0, 2.0], 1), (None, [float(c) for c in x[70].astype(np.float32)], 2)]
+    out = vectors.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()
+    assert len(out) == len(rows)
+    v = np.concatenate([every, every[70:71]]).astype(np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    close = v @ v.T >= 0.9
+    degree = close.sum(1) - 1
+    got = {r["vec_id"]: r for r in out}
+    found = np.array([got[i]["n_links"] for i in range(len(every))])
+    assert (found <= degree[:-1]).all() and found.sum() >= 0.97 * degree[:-1].sum()
+    root = vectors.local_roots(len(v), *np.nonzero(close))
+    assert np.mean([got[i]["component_id"] == root[i] for i in range(len(every))]) > 0.97
+    assert got[None]["component_id"] == 70
+    for i in (9001, 9002, 9003, 9004, 9005):
+        assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"]
+
+
+def test_empty_tables(spark, nothing, tmp_path):
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    from tidewater.llm.registry import QUERIES
+
+    for name, f in QUERIES.items():
+        assert f(spark, str(tmp_path)).count() == 0, name
+    for stage in (quality.keep_good, neardup.deduplicated, suffixes.without_repeats, secrets.redacted):
+        assert stage(nothing).count() == 0

@@ -8,9 +8,10 @@ on the full sets. A pair of Jaccard similarity 0.8 reaches MATCHES but for about
 
 A list of postings may hold a large group of near copies, so its pairs aren't written out. The list's pivot, the class with
 the most frequent coordinates, is compared with all of it; members that are then in the pivot's component need no
-comparison with each other. Members that aren't ("odd" ones) are compared with all members of other components: one after
-the other as further pivots, then, when few comparisons are left or after PIVOTS rounds, all the rest. No comparison that
-could join two components is left out.
+comparison with each other. Members that aren't ("odd" ones) are met with the list's members of other components in tiles
+of bounded size, where equal coordinates are counted by array. Of what reaches MATCHES, each odd member's best partners are
+confirmed first, ROUNDS times, which leaves those that link with nothing or little; then all that is left is confirmed. No
+comparison that could join two components is left out, and a pair that meets in several lists is taken in one of them.
 
 Defined results: null text counts as empty; documents without words have n_shingles 0 and link with nothing; a null doc_id
 never becomes a component's id while another is there; equal rows are in one component and both kept by `kept`, one of
@@ -22,7 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +32,10 @@ from ._graph import components
 from ._store import cut
 from .segmentation import mixed
 
-COORDINATES, MATCHES = 32, 14
+COORDINATES, MATCHES = 64, 40
 PERCENT = 80
-PIVOTS = 6
+#: Rounds in which odd members' BEST partners are confirmed before all others; rows of a tile's sides.
+ROUNDS, BEST, TILE = 2, 2, 512
 #: Words of a shingle where no contract says otherwise.
 SHINGLE = 5
 
@@ -116,58 +118,109 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_rows(docs.select("cid", "text"), run, "cid bigint, full array<bigint>")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that reach MATCHES and PERCENT."""
-    sig = classes.select("cid", "sig")
-    close = pairs.join(sig.withColumnsRenamed({"cid": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"cid": "b", "sig": "sb"}), "b")
-    close = close.where(F.size(F.array_intersect("sa", "sb")) >= MATCHES).select("a", "b")
-    full = close.join(sets.withColumnsRenamed({"cid": "a", "full": "fa"}), "a").join(sets.withColumnsRenamed({"cid": "b", "full": "fb"}), "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, packed: DataFrame | None = None) -> DataFrame:
+    """Those of pairs (a, b) that reach PERCENT on the full sets; with packed signatures, those that reach MATCHES first."""
+    if packed is not None:
+        pairs = pairs.join(packed.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(packed.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
+        same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        pairs = pairs.where(same >= MATCHES).select("a", "b")
+    full = pairs.join(sets.withColumnsRenamed({"cid": "a", "full": "fa"}), "a").join(sets.withColumnsRenamed({"cid": "b", "full": "fb"}), "b")
     both = F.size(F.array_intersect("fa", "fb")).cast("long")
     full = full.select("a", "b", both.alias("both"), (F.size("fa") + F.size("fb")).cast("long").alias("sum"))
     return full.where(F.col("both") * 100 >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def partners(best: int | None):
+    """Of the tiles in a partition, pairs of odd rows with rows of other components that reach MATCHES: each odd row's best ones in
+    a tile, or all, then each pair in the tiles of the first coordinate alone that both are posted under."""
+
+    def run(batches):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        if not len(pdf):
+            return
+        cid, label, odd = pdf["cid"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64), pdf["odd"].to_numpy(bool)
+        sig, under = np.stack(pdf["sig"].to_list()).astype(np.int32), np.stack(pdf["under"].to_list()).astype(bool)
+        tok = pdf["tok"].to_numpy(np.int64)
+        order = np.lexsort((pdf["j"].to_numpy(), pdf["i"].to_numpy(), tok))
+        key = pdf[["tok", "i", "j"]].to_numpy(np.int64)[order]
+        opens = np.flatnonzero(np.concatenate([[True], (np.diff(key, axis=0) != 0).any(1)]))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(opens, [*opens[1:], len(order)], strict=True):
+            rows = order[lo:hi]
+            mine, others = rows[odd[rows]], rows[~odd[rows]]
+            for k in range(0, len(mine), 32):
+                o = mine[k : k + 32]
+                equal = sig[o][:, None, :] == sig[others][None, :, :]
+                matches = np.where(label[o][:, None] != label[others][None, :], equal.sum(2), 0)
+                if best is None:
+                    x, y = np.nonzero(matches >= MATCHES)
+                    first = (equal[x, y] & under[o[x]] & under[others[y]]).argmax(1) == key[lo, 0] >> 32
+                    x, y = x[first], y[first]
+                else:
+                    n = min(best, len(others))
+                    y = np.argpartition(-matches, n - 1, axis=1)[:, :n]
+                    x = np.repeat(np.arange(len(o)), n)
+                    y = y.ravel()
+                    x, y = x[(good := matches[x, y] >= MATCHES)], y[good]
+                found.append((cid[o[x]], cid[others[y]]))
+        if found:
+            a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else (a, b)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def met(marked: DataFrame, best: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of odd rows with rows of other components of the same lists, by tiles. marked: tok, cid, label, sig,
+    under, odd."""
+    sizes = marked.groupBy("tok").agg(F.count("*").alias("m"), F.sum(F.col("odd").cast("long")).alias("o")).where("o > 0")
+    sizes = sizes.select("tok", F.ceil(F.col("m") / TILE).cast("int").alias("nj"), F.ceil(F.col("o") / TILE).cast("int").alias("ni"))
+    every = marked.join(sizes, "tok").withColumn("h", F.xxhash64("cid"))
+    part = lambda n: F.pmod(F.col("h"), F.col(n).cast("long")).cast("int")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("tok", "i", "j", "cid", "label", "sig", "under", "odd")
+    odd = every.where("odd").withColumn("i", part("ni")).withColumn("j", up_to("nj"))
+    rest = every.withColumn("odd", F.lit(False)).withColumn("j", part("nj")).withColumn("i", up_to("ni"))
+    n = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-marked.count() // 20_000))
+    tiles = odd.select(*columns).union(rest.select(*columns)).repartition(n, "tok", "i", "j")
+    return tiles.mapInPandas(partners(best), "a bigint, b bigint").distinct()
+
+
 def class_roots(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame | None:
     """cid and root of all classes that link with another; texts: cid and text of every class."""
     tokens = classes.select("cid", F.explode("sig").alias("tok"))
     shared = cut(tokens.groupBy("tok").agg(F.count("*").alias("freq")).where("freq > 1"), "frequent-coordinates")
     held = tokens.join(shared, "tok").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("freq", "tok"))).alias("held"), F.sum("freq").alias("score"))
     held = held.where(F.size("held") >= MATCHES)
-    posts = held.select("cid", "score", F.explode(F.expr(f"slice(held, 1, size(held) - {MATCHES - 1})")).alias("h")).select("cid", "score", "h.tok")
-    posts = cut(posts, "postings")
-    lists = posts.groupBy("tok").agg(F.max(F.struct(F.col("score"), (-F.col("cid")).alias("c"))).alias("p"), F.count("*").alias("m")).where("m > 1")
+    posts = cut(held.select("cid", "score", F.expr(f"transform(slice(held, 1, size(held) - {MATCHES - 1}), x -> x.tok)").alias("toks")), "posted")
+    posted = posts.select("cid", "score", F.explode("toks").alias("tok"))
+    lists = posted.groupBy("tok").agg(F.max(F.struct(F.col("score"), (-F.col("cid")).alias("c"))).alias("p"), F.count("*").alias("m")).where("m > 1")
     lists = cut(lists.select("tok", (-F.col("p.c")).alias("pivot")), "pivots")
-    posts = cut(posts.join(lists, "tok"), "postings-of-lists")
-    needed = posts.select("cid").distinct()
-    sets = cut(full_sets(texts.join(needed, "cid", "left_semi"), words), "candidate-sets")
-    pairs = posts.where("cid != pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-    links = cut(confirmed(pairs, classes, sets), "links")
-    if posts.isEmpty():
+    if lists.isEmpty():
         return None
-    # further pivots: each odd member is compared with the members of other components
-    first_done = posts.select("tok", F.col("pivot").alias("cid")).distinct()
-    done = first_done
-    for turn in range(PIVOTS + 1):
+    members = cut(posted.join(lists, "tok").select("tok", "cid", "pivot"), "postings-of-lists")
+    needed = members.select("cid").distinct()
+    bits = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.array_contains(F.transform("toks", lambda t: F.shiftright(t, 32)), k.cast("long")).cast("tinyint"))
+    packed = classes.join(needed, "cid", "left_semi").join(posts.select("cid", "toks"), "cid")
+    packed = cut(packed.select("cid", F.transform("sig", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("sig"), bits.alias("under")), "packed-signatures")
+    sets = cut(full_sets(texts.join(needed, "cid", "left_semi"), words), "candidate-sets")
+    pairs = members.where("cid != pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+    links = cut(confirmed(pairs, sets, packed), "links")
+    for turn in range(ROUNDS + 1):
         roots = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-        label = lambda df, of, to: df.join(roots.select(F.col("node").alias(of), F.col("root").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))
-        marked = label(label(posts, "cid", "label"), "pivot", "pivot_label")
-        odd = marked.where("label != pivot_label").join(done, ["tok", "cid"], "left_anti")
-        odd = cut(odd.select("tok", "cid", "score", "label"), "odd")
-        work = odd.groupBy("tok").agg(F.count("*").alias("odd")).join(posts.groupBy("tok").agg(F.count("*").alias("m")), "tok")
-        left = work.agg(F.sum(F.col("odd") * F.col("m"))).first()[0] or 0
-        if not left:
-            break
-        rest = turn == PIVOTS or left <= 8 * posts.count()
-        chosen = odd if rest else odd.groupBy("tok").agg(F.max(F.struct(F.col("score"), (-F.col("cid")).alias("c"), "label")).alias("p")).select("tok", (-F.col("p.c")).alias("cid"), F.col("p.label").alias("label"))
-        other = marked.select("tok", F.col("cid").alias("other"), F.col("label").alias("other_label"))
-        met = chosen.select("tok", "cid", "label").join(other, "tok").where("label != other_label")
-        pairs = met.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
-        links = cut(links.union(confirmed(pairs, classes, sets)), "links")
-        if rest:
-            roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            break
-        done = cut(done.union(chosen.select("tok", "cid")), "done")
-    return roots
+        label = lambda df, of, to: df.join(roots.select(F.col("node").alias(of), F.col("root").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))  # noqa: E731, B023
+        marked = label(label(members, "cid", "label"), "pivot", "pivot_label")
+        marked = cut(marked.select("tok", "cid", "label", (F.col("label") != F.col("pivot_label")).alias("odd")), "marked")
+        open_lists = marked.where("odd").select("tok").distinct()
+        marked = marked.join(open_lists, "tok", "left_semi")
+        if marked.isEmpty():
+            return roots
+        more = cut(confirmed(met(marked.join(packed, "cid"), BEST if turn < ROUNDS else None), sets), "more-links")
+        if more.isEmpty() and turn == ROUNDS:
+            return roots
+        links = links.union(more)
+    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def grouped(docs: DataFrame, carry: list[str], words: int = SHINGLE, key: str = "doc_id") -> DataFrame:
