@@ -33,6 +33,8 @@ OVERLAP = 3
 SHARD = 768
 CELL = 1536
 SAMPLE = 8192
+#: Centroids are no closer than this cosine.
+APART = 0.75
 MAX_SHARDS = 4096
 DEGREE, CANDIDATES, RANDOM, ALPHA = 20, 40, 8, 1.2
 BEAM, MEDOIDS, SLACK = 32, 4, 0.05
@@ -55,7 +57,12 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
         np.add.at(total, near, x)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), c)
-    return c
+    # a dense group must not be shared out among many centroids, or its links would cross shards: of close ones the first stays
+    kept: list[int] = []
+    for i in range(len(c)):
+        if not kept or (c[kept] @ c[i]).max() < APART:
+            kept.append(i)
+    return c[kept]
 
 
 def unit(vectors) -> np.ndarray:
