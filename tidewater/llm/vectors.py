@@ -297,4 +297,11 @@ def op10_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_pruned_graph": op10_pruned_graph}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_pruned_graph": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.id)
+SELECT id AS vec_id, (SELECT count(*) FROM e WHERE x = id) AS n_links, min(c) AS component_id, id = min(c) AS kept FROM r GROUP BY id"""
+}
