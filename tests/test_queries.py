@@ -1,7 +1,9 @@
 import pytest
 
 from tests.oracle import by_duckdb, by_spark
+from tidewater.operators.ranking import multi_sort
 from tidewater.plans.queries import ORACLE, QUERIES
+from tidewater.sources.readers import read_table
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,3 +16,8 @@ def test_query_equals_sql(spark, name):
 def test_k_means_is_reproducible(spark):
     a, b = (QUERIES["w25_k_means"](spark, FOLDER).collect() for _ in range(2))
     assert a == b and len(a) == 3 and sum(r["size"] for r in a) > 0
+
+
+def test_multi_sort_is_sorted(spark):
+    out = [(r["ts"], r["value"], r["event_id"]) for r in multi_sort(read_table(spark, FOLDER, "events"), "ts", "value", "event_id").collect()]
+    assert out == sorted(out)
