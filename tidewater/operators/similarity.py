@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def item_similarity(ratings: DataFrame, user: str = "user", item: str = "item", rating: str = "rating") -> DataFrame:
     """item1 < item2, n (users who rated both), pearson, cosine and jaccard; null where a denominator is 0."""
-    raters = F.count("*").over(Window.partitionBy(item))
-    r = ratings.select(F.col(user).alias("u"), F.col(item).alias("i"), F.col(rating).cast("long").alias("r"), raters.alias("n"))
+    r = ratings.select(F.col(user).alias("u"), F.col(item).alias("i"), F.col(rating).cast("long").alias("r"))
     x, y = r.alias("x"), r.alias("y")
     both = x.join(y, (F.col("x.u") == F.col("y.u")) & (F.col("x.i") < F.col("y.i")))
     a, b = F.col("x.r"), F.col("y.r")
     sums = both.groupBy(F.col("x.i").alias("item1"), F.col("y.i").alias("item2")).agg(
-        F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"), F.max("x.n").alias("nx"), F.max("y.n").alias("ny")
+        F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy")
     )
+    # raters are counted with partial sums and join the pairs: an item that very many rate meets no single task
+    raters = r.groupBy("i").agg(F.count("*").alias("raters"))
+    sums = sums.join(raters.withColumnsRenamed({"i": "item1", "raters": "nx"}), "item1").join(raters.withColumnsRenamed({"i": "item2", "raters": "ny"}), "item2")
     n, sx, sy, sxx, syy, sxy = (F.col(c).cast("double") for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
     root = lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))
     return sums.select(
