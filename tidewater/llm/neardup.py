@@ -82,14 +82,14 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(coordinate << 32 | value) of each non-empty set, a row each."""
+    """The 32-bit MinHash values of each non-empty set, a row each."""
     every = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
-    out = np.zeros((len(sets), COORDINATES), np.int64)
+    out = np.zeros((len(sets), COORDINATES), np.uint32)
     for k in range(COORDINATES):
         values = ((every ^ FLIP[k]) * MULTIPLY[k]) >> np.uint64(32)
-        out[:, k] = np.minimum.reduceat(values, at).astype(np.int64) | (k << 32)
-    return out
+        out[:, k] = np.minimum.reduceat(values, at)
+    return out.view(np.int32)
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
@@ -106,7 +106,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 digests[i] = tuple(np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64).tolist())
         return {"row": cols["row"], "n": [len(s) for s in sets], "d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "sig": sigs}
 
-    return map_rows(docs.select("row", "text"), run, "row bigint, n bigint, d1 bigint, d2 bigint, sig array<bigint>")
+    return map_rows(docs.select("row", "text"), run, "row bigint, n bigint, d1 bigint, d2 bigint, sig array<int>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -189,7 +189,8 @@ def met(marked: DataFrame, best: int | None) -> DataFrame:
 
 def class_roots(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame | None:
     """cid and root of all classes that link with another; texts: cid and text of every class."""
-    tokens = classes.select("cid", F.explode("sig").alias("tok"))
+    # a coordinate-value pair as one number: the coordinate above the 32 bits of the value
+    tokens = classes.select("cid", F.posexplode("sig").alias("k", "value")).select("cid", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("tok"))
     shared = cut(tokens.groupBy("tok").agg(F.count("*").alias("freq")).where("freq > 1"), "frequent-coordinates")
     held = tokens.join(shared, "tok").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("freq", "tok"))).alias("held"), F.sum("freq").alias("score"))
     held = held.where(F.size("held") >= MATCHES)
@@ -203,7 +204,7 @@ def class_roots(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame |
     needed = members.select("cid").distinct()
     bits = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.array_contains(F.transform("toks", lambda t: F.shiftright(t, 32)), k.cast("long")).cast("tinyint"))
     packed = classes.join(needed, "cid", "left_semi").join(posts.select("cid", "toks"), "cid")
-    packed = cut(packed.select("cid", F.transform("sig", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("sig"), bits.alias("under")), "packed-signatures")
+    packed = cut(packed.select("cid", "sig", bits.alias("under")), "packed-signatures")
     sets = cut(full_sets(texts.join(needed, "cid", "left_semi"), words), "candidate-sets")
     pairs = members.where("cid != pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
     links = cut(confirmed(pairs, sets, packed), "links")
