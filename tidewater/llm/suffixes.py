@@ -10,8 +10,9 @@ and of all others, one each goes on to be compared with the other contexts of th
   order, the common extensions of neighbours give those of all members; to the left they are searched for alike. A pair that
   shares LENGTH bytes around the anchor is verified byte by byte, against collisions;
 * an anchor with more than LIMIT different contexts (the edge of a passage that a great many texts share) would be a hot
-  group. Its strings of LENGTH bytes are counted one by one by a 128-bit hash with partial aggregation, which is exact too
-  and needs no task to hold the group.
+  group. Its strings are settled by counting hashes with partial aggregation, which needs no task to hold the group: first in
+  cells of CELL strings (nothing in a cell is repeated unless what all of its strings share is; all of it is if the cell as a
+  whole is), then one by one, by 128-bit hashes, in cells that this leaves open.
 
 Tasks of the sort hold about BLOCK bytes of contexts, so their number follows the input.
 
@@ -37,6 +38,7 @@ from .segmentation import mixed
 LENGTH, GRAM = 400, 256
 STARTS = LENGTH - GRAM + 1
 LIMIT = 64
+CELL = 16
 BLOCK = 16 << 20
 PLACE_BITS = np.uint64(28)
 SECOND = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -249,6 +251,36 @@ def sorted_blocks(batches):
         yield pd.DataFrame({"k1": pdf["k1"][hit], "k2": pdf["k2"][hit], "start": (p - left)[hit], "end": (p + right)[hit]})
 
 
+def cells(rows: DataFrame) -> DataFrame:
+    """rows(k1, k2, text, todo) to the cells of every entry of todo: first and last start of strings, hash of what they share, and
+    128-bit hash of all of them. Cells lie at the same places around an anchor in all texts."""
+
+    def run(cols: dict) -> dict:
+        out: dict[str, list] = {k: [] for k in ("k1", "k2", "lo", "hi", "core", "f1", "f2")}
+        for k1, k2, text, todo in zip(cols["k1"], cols["k2"], cols["text"], cols["todo"], strict=True):
+            for x in todo:
+                base, last = x["lo"], x["hi"]
+                grid = np.arange(x["p"] - STARTS + 1, x["p"] + 1, CELL)
+                grid = grid[(grid + CELL - 1 >= base) & (grid <= last)]
+                lo, hi = np.maximum(grid, base), np.minimum(grid + CELL - 1, last)
+                data = np.frombuffer(text[base : last + LENGTH], np.uint8)
+                tag = ((lo - grid) * CELL + (hi - grid)).astype(np.uint64)
+                for name, table in (("f1", BYTE), ("f2", SECOND)):
+                    sums, down = prefix_sums(data, table)
+                    out[name].append(mixed((sums[hi + LENGTH - base] - sums[lo - base]) * down[lo - base] + tag).view(np.int64))
+                    if name == "f1":
+                        # where the grid's last string would start; it may lie behind the context's last one
+                        a, b = grid + CELL - 1 - base, grid + LENGTH - base
+                        out["core"].append(mixed((sums[b] - sums[a]) * down[a]).view(np.int64))
+                out["lo"].append(lo)
+                out["hi"].append(hi)
+                out["k1"].append(np.full(len(lo), k1))
+                out["k2"].append(np.full(len(lo), k2))
+        return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
+
+    return map_rows(rows, run, "k1 bigint, k2 bigint, lo bigint, hi bigint, core bigint, f1 bigint, f2 bigint")
+
+
 def windows(rows: DataFrame) -> DataFrame:
     """rows(k1, k2, text, todo) to the 128-bit hashes of all strings of LENGTH bytes of every entry of todo."""
 
@@ -269,6 +301,15 @@ def windows(rows: DataFrame) -> DataFrame:
     return map_rows(rows, run, "k1 bigint, k2 bigint, start bigint, w1 bigint, w2 bigint")
 
 
+def sorted_out(parts: DataFrame, core: str, full: list[str]) -> DataFrame:
+    """parts with `whole` (a part with the same `full` stands elsewhere), `open` (the part is the one that stands for its kind, and
+    its core has other kinds) and `kinds` (how many its core has)."""
+    who = F.struct("k1", "k2", "lo")
+    kinds = parts.groupBy(core, *full).agg(F.count("*").alias("times"), F.min(who).alias("keeper"))
+    kinds = kinds.join(kinds.groupBy(core).agg(F.count("*").alias("kinds")), core)
+    return parts.join(kinds, [core, *full]).withColumn("whole", F.col("times") > 1).withColumn("open", (F.col("kinds") > 1) & (who == F.col("keeper")))
+
+
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (k1, k2, text) that may lose something, and intervals (k1, k2, start, end) of bytes to remove."""
     key = ["k1", "k2"]
@@ -277,10 +318,7 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = marks.select(*key, F.inline(F.arrays_zip("a", "f", "p", "lo", "hi")))
     twice = marks.select(F.explode("a").alias("a")).groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
     met = cut(each.join(twice, "a"), "repeated-anchors")
-    who = F.struct("k1", "k2", "lo")
-    kinds = met.groupBy("a", "f").agg(F.count("*").alias("times"), F.min(who).alias("keeper"))
-    kinds = kinds.join(kinds.groupBy("a").agg(F.count("*").alias("kinds")), "a")
-    met = met.join(kinds, ["a", "f"]).select(*key, "a", "p", "lo", "hi", (F.col("times") > 1).alias("whole"), ((F.col("kinds") > 1) & (who == F.col("keeper"))).alias("open"), (F.col("kinds") > LIMIT).alias("hot"))
+    met = sorted_out(met, "a", ["f"]).select(*key, "a", "p", "lo", "hi", "whole", "open", (F.col("kinds") > LIMIT).alias("hot"))
     met = met.groupBy(*key).agg(F.collect_set(F.struct("a", "p", "lo", "hi", "whole", "open", "hot")).alias("met"))
     rows = cut(base.join(met, key), "rows-with-repeats")
     whole = rows.select(*key, F.inline(F.filter("met", lambda x: x["whole"]))).select(*key, F.col("lo").cast("long").alias("start"), (F.col("hi") + LENGTH).cast("long").alias("end"))
@@ -288,10 +326,13 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cold = cut(contexts(part(False)), "contexts")
     n = cold.agg(F.sum(F.length("bytes"))).first()[0] or 0
     found = cold.repartition(max(8, -(-n // BLOCK), int(cold.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a").mapInPandas(sorted_blocks, "k1 bigint, k2 bigint, start bigint, end bigint")
-    strings = cut(windows(part(True)), "strings")
+    cell = cut(sorted_out(cut(cells(part(True)), "cells"), "core", ["f1", "f2"]).select(*key, "lo", "hi", "whole", "open"), "cells-sorted-out")
+    hot_whole = cell.where("whole").select(*key, F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
+    todo = cell.where("open").groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("todo"))
+    strings = cut(windows(rows.select(*key, "text").join(todo, key)), "strings")
     again = strings.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
     hot = strings.join(again, ["w1", "w2"]).select(*key, "start", (F.col("start") + LENGTH).alias("end"))
-    return rows.select(*key, "text"), whole.union(found).union(hot)
+    return rows.select(*key, "text"), whole.union(found).union(hot_whole).union(hot)
 
 
 def cleaned(docs: DataFrame, with_text: bool) -> DataFrame:
