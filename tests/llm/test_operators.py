@@ -359,6 +359,24 @@ def test_vectors(spark, monkeypatch, cell):
         assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"]
 
 
+@pytest.mark.parametrize("shared", [0.97, 0.0])
+def test_vectors_across_shards(spark, monkeypatch, shared):
+    """Isolated pairs just above the threshold among many small shards; without SHARED the audit alone has to find what is missed."""
+    monkeypatch.setattr(vectors, "OVERLAP", 1)
+    monkeypatch.setattr(vectors, "SHARD", 20)
+    monkeypatch.setattr(vectors, "SHARED", shared, raising=False)
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    every = np.concatenate([x, 0.901 * x + np.sqrt(1 - 0.901**2) * y])
+    rows = [(i, v.tolist()) for i, v in enumerate(every)]
+    out = vectors.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    truth = (every @ every.T >= 0.9).sum() - len(every)
+    assert 0.95 * truth <= sum(r["n_links"] for r in out) <= truth
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     nothing.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))

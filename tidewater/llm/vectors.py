@@ -1,17 +1,21 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Equal vectors are one class. Classes are dealt to overlapping cluster shards (the OVERLAP nearest centroids); a shard beyond
-CELL rows becomes cells of two blocks each, so that every pair of its rows still meets in a cell. In each cell a graph is
+Equal vectors are one class. Classes are dealt to overlapping cluster shards: those of their nearest centroids, at least
+OVERLAP and as many as it takes for the share SHARED of pairs at cosine exactly the threshold, made from sampled vectors, to
+have a shard in common; closer pairs have one more often. A shard beyond CELL rows becomes cells of two blocks each, so that every pair of its rows still meets in a cell. In each cell a graph is
 built whose lists are robustly pruned (a candidate is left out if it is closer, by ALPHA, to one already taken). The lists
 that a class gets in its cells are united. Every class is then searched for in its cells: greedily from the cell's medoids
 with a beam, and from what lies within range on, until nothing new lies within range. Links are verified in double
 precision. A pair that meets in several cells is counted in one of them, so links are counted without a row for each.
 
-The search is audited: some classes of each cell are compared with all of the cell; if the share of links found is
-below AUDIT, the beam is doubled and the search runs again, at most twice.
+The result is audited: ASKED sampled classes are compared with all classes of the table. While the share of links found,
+over all links or as a mean over the classes that have links, is below AUDIT, the search runs again: with a doubled beam, and
+from three doublings on against all of a cell, if links inside cells are missed (some classes of each cell are compared with
+all of it), else with twice as many shards for each class. At the end of this stands one shard in which all pairs are
+compared, so no result below AUDIT is returned.
 
 Bounds: the centroids are fitted on at most SAMPLE vectors and there are at most MAX_SHARDS; only these are collected and
-sent out. All vectors are indexed.
+sent out, ASKED of them for the audit. All vectors are indexed.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose length differs from most,
 link with nothing; a null vec_id never becomes a component's id while another is there; rows with equal vec_id are told
@@ -39,6 +43,8 @@ MAX_SHARDS = 4096
 DEGREE, CANDIDATES, RANDOM, ALPHA = 20, 40, 8, 1.2
 BEAM, MEDOIDS, SLACK = 32, 4, 0.05
 AUDITED, AUDIT = 16, 0.95
+#: Sampled classes that are compared with all, and how many of them at once; the share of pairs at the threshold that shall meet.
+ABREAST, ASKED, SHARED = 256, 2048, 0.97
 
 
 def usable(v: Column) -> Column:
@@ -71,6 +77,18 @@ def unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def overlap_needed(x: np.ndarray, centroids: np.ndarray, threshold: float) -> int:
+    """How many nearest centroids a row needs for SHARED of the pairs (row of x, row at cosine threshold to it) to have one
+    in common."""
+    aside = np.random.default_rng(11).normal(size=x.shape)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-9)
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * aside
+    ranks = [(-(v @ centroids.T)).argsort(1, kind="stable").argsort(1) for v in (x, y)]
+    needed = np.sort(np.maximum(*ranks).min(1) + 1)
+    return int(needed[min(len(needed) - 1, int(np.ceil(SHARED * len(needed))))])
+
+
 def pruned_graph(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Robustly pruned lists of each row, filled up with -1: DEGREE own neighbours and as many that chose the row."""
     n = len(x)
@@ -213,7 +231,12 @@ def searcher(threshold: float, beam: int):
         here = cids[at] == dst
         src, dst = src[here], at[here]
         adjacent = lists(np.concatenate([src, dst]), np.concatenate([dst, src]), n)
-        a, b = range_search(x, adjacent, np.arange(n), threshold, beam)
+        if beam:
+            a, b = range_search(x, adjacent, np.arange(n), threshold, beam)
+        else:
+            near = [np.nonzero(x[i : i + 256] @ x.T >= threshold - 1e-6) for i in range(0, n, 256)]
+            a, b = (np.concatenate(v) for v in zip(*[(p + 256 * i, q) for i, (p, q) in enumerate(near)], strict=True))
+            a, b = a[a != b], b[a != b]
         key = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
         a, b = key // n, key % n
         exact = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
@@ -232,28 +255,38 @@ def searcher(threshold: float, beam: int):
         within = np.where(block[a] == block[b], first, True)
         mine = (least == shard) & within
         links = np.bincount(a[mine], copies[b[mine]], n) + np.bincount(b[mine], copies[a[mine]], n)
+        pairs = np.bincount(a[mine], minlength=n) + np.bincount(b[mine], minlength=n)
         roots = local_roots(n, a, b)
-        return pd.DataFrame({"cid": cids, "links": links.astype(np.int64), "root": cids[roots], "audit_true": np.bincount(some, truth, n).astype(np.int64), "audit_found": np.bincount(some, found[some], n).astype(np.int64)})
+        return pd.DataFrame({"cid": cids, "links": links.astype(np.int64), "pairs": pairs.astype(np.int64), "root": cids[roots], "audit_true": np.bincount(some, truth, n).astype(np.int64), "audit_found": np.bincount(some, found[some], n).astype(np.int64)})
 
     return search
 
 
-def links(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """key, n_links, component_id and kept of every row."""
-    spark = table.sparkSession
-    rows = cut(table.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    good = rows.where(usable(F.col("v")))
-    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = sizes["d"] if sizes else 0
-    digest = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
-    good = good.where(F.size("v") == d).select("id", "row", "v", *digest)
-    classes = cut(good.groupBy("h1", "h2").agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v")), "vector-classes")
-    n = classes.count()
-    if n == 0:
-        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = unit([r[0] for r in classes.select("v").orderBy(F.xxhash64("cid")).limit(SAMPLE).collect()])
-    centroids = fit_centroids(sample, min(MAX_SHARDS, max(1, -(-n * OVERLAP // SHARD)), max(1, len(sample) // 2))).astype(np.float32)
-    overlap = min(OVERLAP, len(centroids))
+def all_pairs(classes: DataFrame, cids: np.ndarray, queries: np.ndarray, threshold: float) -> DataFrame:
+    """cid and number of linked classes of the queries that have links, against all classes."""
+
+    def count(batches):
+        total = np.zeros(len(queries), np.int64)
+        for pdf in batches:
+            if len(pdf):
+                x = unit(pdf["v"])
+                for i in range(0, len(queries), ABREAST):
+                    total[i : i + ABREAST] += (queries[i : i + ABREAST] @ x.T >= threshold).sum(1)
+        yield pd.DataFrame({"cid": cids, "truth": total})
+
+    counted = classes.select(F.col("v").cast("array<double>").alias("v")).mapInPandas(count, "cid bigint, truth bigint")
+    return cut(counted.groupBy("cid").agg((F.sum("truth") - 1).alias("truth")).where("truth > 0"), "vector-truth")
+
+
+def recall(found: DataFrame, truth: DataFrame) -> float:
+    """Of the links in truth the share that was found: over all links, or the mean over the classes if that is less."""
+    own = truth.join(found.groupBy("cid").agg(F.sum("pairs").alias("pairs")), "cid", "left").na.fill(0, ["pairs"])
+    r = own.agg((F.sum("pairs") / F.sum("truth")).alias("all"), F.avg(F.col("pairs") / F.col("truth")).alias("mean")).first()
+    return 1.0 if r["all"] is None else min(r["all"], r["mean"])
+
+
+def graph(classes: DataFrame, centroids: np.ndarray, overlap: int) -> DataFrame:
+    """Every class in each of its cells, with its united lists."""
 
     def nearest(batches):
         for pdf in batches:
@@ -273,15 +306,44 @@ def links(table: DataFrame, key: str = "vec_id", vector: str = "embedding", thre
     cells = each.withColumn("other", F.explode(other)).select("cid", "copies", "v", "shards", "shard", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     adjacency = cells.select("cid", "v", "shard", "i", "j").groupBy("shard", "i", "j").applyInPandas(builder, "cid bigint, near array<bigint>")
     union = cut(adjacency.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vector-graph")
-    linked = cells.join(union, "cid")
-    beam = BEAM
-    for _ in range(3):
-        found = linked.groupBy("shard", "i", "j").applyInPandas(searcher(threshold, beam), "cid bigint, links bigint, root bigint, audit_true bigint, audit_found bigint")
+    return cells.join(union, "cid")
+
+
+def links(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """key, n_links, component_id and kept of every row."""
+    spark = table.sparkSession
+    rows = cut(table.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    good = rows.where(usable(F.col("v")))
+    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    d = sizes["d"] if sizes else 0
+    digest = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
+    good = good.where(F.size("v") == d).select("id", "row", "v", *digest)
+    classes = cut(good.groupBy("h1", "h2").agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v")), "vector-classes")
+    n = classes.count()
+    if n == 0:
+        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    sampled = classes.select("cid", "v").orderBy(F.xxhash64("cid")).limit(SAMPLE).collect()
+    sample = unit([r["v"] for r in sampled])
+    centroids = fit_centroids(sample, min(MAX_SHARDS, max(1, -(-n * OVERLAP // SHARD)), max(1, len(sample) // 2))).astype(np.float32)
+    overlap = min(max(OVERLAP, overlap_needed(sample[-ASKED:], centroids, threshold)), len(centroids))
+    truth = all_pairs(classes, np.array([r["cid"] for r in sampled[:ASKED]]), sample[:ASKED], threshold)
+    beam, linked = BEAM, None
+    while True:
+        if linked is None:
+            linked = graph(classes, centroids, overlap)
+        found = linked.groupBy("shard", "i", "j").applyInPandas(searcher(threshold, beam), "cid bigint, links bigint, pairs bigint, root bigint, audit_true bigint, audit_found bigint")
         found = cut(found, "vector-links")
-        audit = found.agg(F.sum("audit_true").alias("t"), F.sum("audit_found").alias("f")).first()
-        if not audit["t"] or audit["f"] >= AUDIT * audit["t"]:
+        inside = found.agg(F.sum("audit_true").alias("t"), F.sum("audit_found").alias("f")).first()
+        missed_inside = bool(inside["t"]) and inside["f"] < AUDIT * inside["t"]
+        one = len(centroids) == 1
+        if recall(found, truth) >= AUDIT and not missed_inside or one and not beam:
             break
-        beam *= 2
+        if beam and (missed_inside or one):
+            beam = 2 * beam if beam < 4 * BEAM else 0
+        else:
+            overlap, linked = 2 * overlap, None
+            if overlap >= len(centroids):
+                centroids, overlap = centroids[:1], 1
     roots = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     counted = found.groupBy("cid").agg(F.sum("links").alias("links"))
     classes = classes.join(counted, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
