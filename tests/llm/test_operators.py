@@ -150,6 +150,20 @@ def test_packing_levels(spark):
     assert max(bins.values()) <= 2048 and len(bins) <= 1.02 * sum(sizes) / 2048 + 2
 
 
+def test_packing_of_a_hot_length_stays_in_bounded_groups(spark):
+    """A third of the pieces is over half a sequence long and most never fill up: no task may get them all."""
+    rng = np.random.default_rng(3)
+    sizes = np.where(rng.random(3000) < 1 / 3, 1500, np.minimum(rng.geometric(1 / 400, 3000), 2048)).tolist()
+    out = packing.pack(spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "doc_id bigint, length bigint"), group=32).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(3000))
+    assert max(Counter(r["sequence_id"] >> 20 for r in out).values()) <= 2 * 4 * 32
+    ends = Counter()
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= packing.CAPACITY
+
+
 def test_words_are_encoded_as_texts_are():
     from tokenizers import Tokenizer
 

@@ -4,9 +4,10 @@ Documents become token ids, long ones are cut into pieces of at most CAPACITY, a
 the sum over all gaps of the squared number of open bins with that gap becomes smallest (ties: the smallest gap that
 remains). A gap of 0 is closed and not counted.
 
-Pieces are dealt to groups of about GROUP pieces by a hash of their row, so a task's work is bounded whatever the input;
-bins that a group could not fill are opened again and packed with those of other groups, level after level, until one
-group is left. What is opened again shrinks with each level.
+Pieces are dealt to groups of about GROUP pieces by a hash of their row; bins that a group could not fill are opened again
+and packed with those of other groups, level after level, in fewer groups of at most about WIDEST x GROUP pieces, so a task's
+work is bounded whatever the input. It ends with one group, or when groups are as large as they may be and a level leaves more
+than STALLED of what it opened: bins then stay as they are. Only row number and length go through the levels.
 
 Defined results: null text counts as empty and gives one piece, the closing id; rows are packed one by one, whether their
 doc_id is null, repeated or not; an empty table gives an empty result; extra columns are ignored. Words are encoded one by
@@ -31,6 +32,7 @@ from ._store import cut
 CAPACITY = 2048
 CLOSING_ID = 0
 GROUP = 4096
+WIDEST, STALLED = 4, 0.75
 CACHE = 400_000
 
 
@@ -179,12 +181,13 @@ def packed_tight(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarra
         gaps = np.concatenate([gaps, g])
 
 
-def placer(level: int, length: str, capacity: int):
+def placer(level: int, capacity: int):
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_n", kind="stable").reset_index(drop=True)
-        bins, offsets, gaps = packed_tight(pdf[length].to_numpy(np.int64), capacity)
+        bins, offsets, gaps = packed_tight(pdf["_length"].to_numpy(np.int64), capacity)
         out = pdf.drop(columns="_g")
-        out["sequence_id"] = (np.int64(level) << 56) + (np.int64(key[0]) << 20) + bins
+        # numbered densely: fewer than the group's pieces, so that ids don't run into the next group's
+        out["sequence_id"] = (np.int64(level) << 56) + (np.int64(key[0]) << 20) + np.unique(bins, return_inverse=True)[1]
         out["offset"] = offsets
         out["_full"] = gaps[bins] == 0
         return out
@@ -194,27 +197,24 @@ def placer(level: int, length: str, capacity: int):
 
 def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """rows with sequence_id and offset: every row is placed once."""
-    schema = rows.schema
-    left = cut(rows.withColumn("_n", F.monotonically_increasing_id()), "pieces")
+    rows = cut(rows.withColumn("_n", F.monotonically_increasing_id()), "pieces")
+    left = rows.select("_n", F.col(length).cast("long").alias("_length"))
     done = None
     n = left.count()
-    level, groups = 0, None
+    level, groups = 0, max(1, -(-n // group))
     while True:
-        groups = max(1, -(-n // group)) if groups is None else max(1, min(groups // 2, -(-n // (group // 16))))
-        last = groups == 1
-
         dealt = left.withColumn("_g", F.pmod(F.xxhash64("_n", F.lit(level)), F.lit(groups).cast("long")))
-        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", _n bigint, sequence_id bigint, offset bigint, _full boolean"
-        placed = dealt.groupBy("_g").applyInPandas(placer(level, length, capacity), types)
+        types = "_n bigint, _length bigint, sequence_id bigint, offset bigint, _full boolean"
+        placed = cut(dealt.groupBy("_g").applyInPandas(placer(level, capacity), types), f"packed-{level}")
+        opened, n = n, placed.where("NOT _full").count()
+        fewer = max(1, min(groups // 2, -(-n // (group // 16))), -(-n // (WIDEST * group)))
+        last = groups == 1 or fewer >= groups and n > STALLED * opened
+        closed = (placed if last else placed.where("_full")).select("_n", "sequence_id", "offset")
+        done = closed if done is None else done.unionByName(closed)
         if last:
-            out = placed.drop("_n", "_full")
-            return done.unionByName(out) if done is not None else out
-        placed = cut(placed, f"packed-{level}")
-        full = placed.where("_full").drop("_n", "_full")
-        done = full if done is None else done.unionByName(full)
-        left = placed.where("NOT _full").select(*[F.col(f"`{f.name}`") for f in schema], "_n")
-        n = left.count()
-        level += 1
+            return rows.join(done, "_n").drop("_n")
+        left = placed.where("NOT _full").select("_n", "_length")
+        level, groups = level + 1, fewer
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
