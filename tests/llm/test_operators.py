@@ -375,6 +375,12 @@ def test_every_notice_with_few_errors_is_found():
             assert label in {x[0] for x in s.fuzzy("before " + "".join(t) + " after")}
 
 
+def test_notices_before_a_better_one_are_found():
+    worse, better = ("licensed under the apache license version 2 0".replace(*x) for x in (("apache", "apqqhe"), ("apache", "apqche")))
+    found = [x for x in licenses.Scanner().fuzzy(f"{worse} {better} {worse}") if x[0] == "apache-notice"]
+    assert [x[3] for x in found] == [2, 1, 2]
+
+
 @pytest.mark.parametrize("cell", [1536, 60])
 def test_vectors(spark, monkeypatch, cell):
     monkeypatch.setattr(vectors, "CELL", cell)

@@ -60,6 +60,16 @@ def parts(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def every_match(pattern, text: str, a: int, b: int):
+    """Matches in text[a:b]: the best first, then those before it, which finditer skips, and behind it."""
+    open_parts = [(a, b)]
+    while open_parts:
+        a, b = open_parts.pop()
+        if m := pattern.search(text, a, b):
+            yield m
+            open_parts += [(a, m.start()), (m.end(), b)]
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES):
         import ahocorasick
@@ -109,7 +119,7 @@ class Scanner:
                 b = min(b, len(text))
                 while True:
                     at = text.find(notice, a, b)
-                    for m in pattern.finditer(text, a, b if at < 0 else at):
+                    for m in every_match(pattern, text, a, b if at < 0 else at):
                         out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
                     if at < 0:
                         break
