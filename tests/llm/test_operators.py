@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -99,6 +100,11 @@ def test_minhash_chains_with_odd_members(spark, monkeypatch, rounds):
     assert {r["id"]: r["component"] for r in neardup.grouped(df, ["doc_id"], 4).collect()} == dict(zip(range(len(rows)), root, strict=True))
 
 
+def test_minhash_misses_less_than_one_in_a_million():
+    n, m = neardup.COORDINATES, neardup.MATCHES
+    assert sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(m)) < 1e-6
+
+
 def test_deduplicated_keeps_one_of_each(docs, rows):
     out = neardup.deduplicated(docs, 4)
     assert out.columns == docs.columns

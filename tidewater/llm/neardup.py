@@ -4,7 +4,7 @@ A document is the set of its distinct word shingles. Equal sets are one class. E
 MinHash values and is posted under (coordinate, value). Two classes with at least MATCHES equal coordinates have one in
 common among the COORDINATES - MATCHES + 1 rarest of either, so each class is posted under its rarest only (prefix), and
 its frequent ones are met when the equal coordinates of a pair are counted (skip). Pairs that reach MATCHES are confirmed
-on the full sets. A pair of Jaccard similarity 0.8 reaches MATCHES but for about one in a million.
+on the full sets. A pair of Jaccard similarity 0.8 reaches MATCHES but for less than one in a million.
 
 A list of postings may hold a large group of near copies, so its pairs aren't written out. The list's pivot, the class with
 the most frequent coordinates, is compared with all of it; members that are then in the pivot's component need no
@@ -32,7 +32,7 @@ from ._graph import components
 from ._store import cut
 from .segmentation import mixed
 
-COORDINATES, MATCHES = 64, 40
+COORDINATES, MATCHES = 64, 34
 PERCENT = 80
 #: Rounds in which odd members' BEST partners are confirmed before all others; rows of a tile's sides.
 ROUNDS, BEST, TILE = 2, 2, 512
