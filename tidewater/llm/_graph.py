@@ -1,15 +1,17 @@
 """Connected components of an edge table, by alternating large stars and small stars.
 
-Each round joins a table with its own minima by node and never holds a node's neighbours together, so a node with very many
-neighbours is no bottleneck. Each round is written to the shared folder; rounds grow with the logarithm of the longest path.
+Each round joins a table with its own minima by node and never holds a node's neighbours together: minima are aggregated
+partially, and the join's rows of a node with very many neighbours can be split (a skewed join). Each round is written to the
+shared folder and the one before it deleted; rounds grow with the logarithm of the longest path.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, free
 
 
 def _pointed(edges: DataFrame) -> DataFrame:
@@ -35,9 +37,28 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     said = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
     before = now.select(said).first()[0]
     while before["n"]:
-        now = cut(_pointed(_small_star(_pointed(_large_star(now)))), "edges")
+        old, now = now, cut(_pointed(_small_star(_pointed(_large_star(now)))), "edges")
+        free(old)
         after = now.select(said).first()[0]
         if after == before:
             break
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
+    out = cut(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct()), "components")
+    free(now)
+    return out
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component, of n rows and the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

@@ -3,19 +3,22 @@
 A document is the set of its distinct word shingles. Equal sets are one class. Each class has a signature of COORDINATES
 MinHash values and is posted under (coordinate, value). Two classes with at least MATCHES equal coordinates have one in
 common among the COORDINATES - MATCHES + 1 rarest of either, so each class is posted under its rarest only (prefix), and
-its frequent ones are met when the equal coordinates of a pair are counted (skip). Pairs that reach MATCHES are confirmed
-on the full sets. A pair of Jaccard similarity 0.8 reaches MATCHES but for less than one in a million.
+its frequent ones are met when the equal coordinates of a pair are counted (skip). A pair of Jaccard similarity 0.8 reaches
+MATCHES but for less than one in a million.
 
 A list of postings may hold a large group of near copies, so its pairs aren't written out. The list's pivot, the class with
-the most frequent coordinates, is compared with all of it; members that are then in the pivot's component need no
-comparison with each other. Members that aren't ("odd" ones) are met with the list's members of other components in tiles
-of bounded size, where equal coordinates are counted by array. Of what reaches MATCHES, each odd member's best partners are
-confirmed first, ROUNDS times, which leaves those that link with nothing or little; then all that is left is confirmed. No
-comparison that could join two components is left out, and a pair that meets in several lists is taken in one of them.
+the most frequent coordinates, is met with each class that shares one of its lists; what reaches MATCHES is confirmed on the
+full sets. Lists of one pivot make a cluster. Classes that are then in the pivot's component need no comparison with each
+other; those that aren't ("odd" ones) are compared, in tiles, with all of the cluster that is in other components. No
+comparison that could join two components is left out.
+
+Both comparisons go by tiles: some classes' texts on either side, of which a task makes the sets, counts all intersections
+at once and returns a spanning forest of the links. A tile is bounded in rows and bytes, its texts are sent to it once, and no
+row is made for a pair. The work of odd classes grows with their number times the size of their cluster.
 
 Defined results: null text counts as empty; documents without words have n_shingles 0 and link with nothing; a null doc_id
 never becomes a component's id while another is there; equal rows are in one component and both kept by `kept`, one of
-them by `head`; an empty table gives an empty result; extra columns are ignored, or kept by deduplicated().
+them by deduplicated(); an empty table gives an empty result; extra columns are ignored, or kept by deduplicated().
 """
 
 from __future__ import annotations
@@ -24,18 +27,20 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import map_rows
-from ._graph import components
-from ._store import cut
+from ._arrow import SLICE_BYTES, map_rows
+from ._graph import components, local_roots
+from ._store import cut, free
 from .segmentation import mixed
 
 COORDINATES, MATCHES = 64, 34
 PERCENT = 80
-#: Rounds in which odd members' BEST partners are confirmed before all others; rows of a tile's sides.
-ROUNDS, BEST, TILE = 2, 2, 512
+#: Rows of a tile's side at least and at most, parts that a cluster has before its tiles grow, and bytes of a side.
+TILE, MOST, PARTS, TILE_BYTES = 256, 2048, 16, 8 << 20
+#: Shingles that are counted at once.
+COLUMNS = 4096
 #: Words of a shingle where no contract says otherwise.
 SHINGLE = 5
 
@@ -92,8 +97,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int32)
 
 
+def text_key(text: Column) -> list[Column]:
+    """128 bits that tell texts apart."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text, F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2")]
+
+
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """row, n, digest halves d1 and d2 and signature sig of every row of docs(row, text); null where there is no shingle."""
+    """row, id, k1, k2 of every row of docs(row, id, k1, k2, text), its number of shingles n, their digest's halves d1 and d2 and
+    the signature sig; null where there is no shingle."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(cols: dict) -> dict:
         sets = shingle_sets(cols["text"], words)
@@ -104,155 +117,173 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             for i, sig in zip(full, signatures([sets[i] for i in full]), strict=True):
                 sigs[i] = sig
                 digests[i] = tuple(np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64).tolist())
-        return {"row": cols["row"], "n": [len(s) for s in sets], "d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "sig": sigs}
+        return {k: cols[k] for k in ("row", "id", "k1", "k2")} | {"n": [len(s) for s in sets], "d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "sig": sigs}
+
+    return map_rows(docs, run, f"row bigint, id {kind}, k1 bigint, k2 bigint, n bigint, d1 bigint, d2 bigint, sig array<int>")
+
+
+def shared_counts(mine: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of mine has in common with each of others."""
+    sets = [*mine, *others]
+    out = np.zeros((len(mine), len(others)), np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    both = np.zeros((2, len(values)), bool)
+    both[(row >= len(mine)).astype(int), place] = True
+    both = both.all(0)
+    keep = np.flatnonzero(both[place])
+    row, place = row[keep], (np.cumsum(both) - 1)[place[keep]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    for lo in range(0, int(both.sum()), COLUMNS):
+        a, b = np.searchsorted(place, [lo, lo + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[row[a:b], place[a:b] - lo] = 1
+        out += (x[: len(mine)] @ x[len(mine) :].T).astype(np.int64)
+    return out
 
-    return map_rows(docs.select("row", "text"), run, "row bigint, n bigint, d1 bigint, d2 bigint, sig array<int>")
 
+def comparer(words: int):
+    """Of a tile (side, label, text) edges between labels that tie together what has links across its two sides."""
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """cid and its full set of docs(cid, text)."""
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = [t.encode() for t in pdf["text"]]
+        edges = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // SLICE_BYTES)) + 1
+        sets = [s for part in np.split(np.arange(len(texts)), edges) for s in shingle_sets([texts[i] for i in part], words)]
+        side, label = pdf["side"].to_numpy(), pdf["label"].to_numpy(np.int64)
+        mine, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        size = np.array([len(s) for s in sets], np.int64)
+        both = shared_counts([sets[i] for i in mine], [sets[i] for i in others])
+        link = both * 100 >= PERCENT * (size[mine][:, None] + size[others][None, :] - both)
+        x, y = np.nonzero(link & (label[mine][:, None] != label[others][None, :]))
+        names, ends = np.unique(np.concatenate([label[mine[x]], label[others[y]]]), return_inverse=True)
+        root = local_roots(len(names), ends[: len(x)], ends[len(x) :])
+        tied = np.flatnonzero(root != np.arange(len(names)))
+        return pd.DataFrame({"u": names[tied], "v": names[root[tied]]})
 
-    def run(cols: dict) -> dict:
-        return {"cid": cols["cid"], "full": [s.astype(np.int64) for s in shingle_sets(cols["text"], words)]}
-
-    return map_rows(docs.select("cid", "text"), run, "cid bigint, full array<bigint>")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, packed: DataFrame | None = None) -> DataFrame:
-    """Those of pairs (a, b) that reach PERCENT on the full sets; with packed signatures, those that reach MATCHES first."""
-    if packed is not None:
-        pairs = pairs.join(packed.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(packed.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
-        same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        pairs = pairs.where(same >= MATCHES).select("a", "b")
-    full = pairs.join(sets.withColumnsRenamed({"cid": "a", "full": "fa"}), "a").join(sets.withColumnsRenamed({"cid": "b", "full": "fb"}), "b")
-    both = F.size(F.array_intersect("fa", "fb")).cast("long")
-    full = full.select("a", "b", both.alias("both"), (F.size("fa") + F.size("fb")).cast("long").alias("sum"))
-    return full.where(F.col("both") * 100 >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
-
-
-def partners(best: int | None):
-    """Of the tiles in a partition, pairs of odd rows with rows of other components that reach MATCHES: each odd row's best ones in
-    a tile, or all, then each pair in the tiles of the first coordinate alone that both are posted under."""
-
-    def run(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if not len(pdf):
-            return
-        cid, label, odd = pdf["cid"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64), pdf["odd"].to_numpy(bool)
-        sig, under = np.stack(pdf["sig"].to_list()).astype(np.int32), np.stack(pdf["under"].to_list()).astype(bool)
-        tok = pdf["tok"].to_numpy(np.int64)
-        order = np.lexsort((pdf["j"].to_numpy(), pdf["i"].to_numpy(), tok))
-        key = pdf[["tok", "i", "j"]].to_numpy(np.int64)[order]
-        opens = np.flatnonzero(np.concatenate([[True], (np.diff(key, axis=0) != 0).any(1)]))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for lo, hi in zip(opens, [*opens[1:], len(order)], strict=True):
-            rows = order[lo:hi]
-            mine, others = rows[odd[rows]], rows[~odd[rows]]
-            for k in range(0, len(mine), 32):
-                o = mine[k : k + 32]
-                equal = sig[o][:, None, :] == sig[others][None, :, :]
-                matches = np.where(label[o][:, None] != label[others][None, :], equal.sum(2), 0)
-                if best is None:
-                    x, y = np.nonzero(matches >= MATCHES)
-                    first = (equal[x, y] & under[o[x]] & under[others[y]]).argmax(1) == key[lo, 0] >> 32
-                    x, y = x[first], y[first]
-                else:
-                    n = min(best, len(others))
-                    y = np.argpartition(-matches, n - 1, axis=1)[:, :n]
-                    x = np.repeat(np.arange(len(o)), n)
-                    y = y.ravel()
-                    x, y = x[(good := matches[x, y] >= MATCHES)], y[good]
-                found.append((cid[o[x]], cid[others[y]]))
-        if found:
-            a, b = (np.concatenate(v) for v in zip(*found, strict=True))
-            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else (a, b)
-            yield pd.DataFrame({"a": a, "b": b})
-
-    return run
-
-
-def met(marked: DataFrame, best: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of odd rows with rows of other components of the same lists, by tiles. marked: tok, cid, label, sig,
-    under, odd."""
-    sizes = marked.groupBy("tok").agg(F.count("*").alias("m"), F.sum(F.col("odd").cast("long")).alias("o")).where("o > 0")
-    sizes = sizes.select("tok", F.ceil(F.col("m") / TILE).cast("int").alias("nj"), F.ceil(F.col("o") / TILE).cast("int").alias("ni"))
-    every = marked.join(sizes, "tok").withColumn("h", F.xxhash64("cid"))
-    part = lambda n: F.pmod(F.col("h"), F.col(n).cast("long")).cast("int")
-    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("tok", "i", "j", "cid", "label", "sig", "under", "odd")
-    odd = every.where("odd").withColumn("i", part("ni")).withColumn("j", up_to("nj"))
-    rest = every.withColumn("odd", F.lit(False)).withColumn("j", part("nj")).withColumn("i", up_to("ni"))
-    n = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-marked.count() // 20_000))
-    tiles = odd.select(*columns).union(rest.select(*columns)).repartition(n, "tok", "i", "j")
-    return tiles.mapInPandas(partners(best), "a bigint, b bigint").distinct()
-
-
-def class_roots(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame | None:
-    """cid and root of all classes that link with another; texts: cid and text of every class."""
+    return compare
+
+
+def compared(sides: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Edges (u, v) between labels from the tiles of sides(pivot, i, j, side, cid, label); texts: cid and text."""
+    full = sides.join(texts, "cid").select("pivot", "i", "j", "side", "label", "text")
+    return full.groupBy("pivot", "i", "j").applyInPandas(comparer(words), "u bigint, v bigint")
+
+
+def parts_of(rows: str, size: str) -> Column:
+    """In how many parts so many rows with so many bytes are dealt."""
+    tile = F.least(F.lit(MOST), F.greatest(F.lit(TILE), F.ceil(F.col(rows) / PARTS)))
+    return F.greatest(F.ceil(F.col(rows) / tile), F.ceil(F.col(size) / TILE_BYTES)).cast("int")
+
+
+def up_to(n: Column | str) -> Column:
+    return F.explode(F.sequence(F.lit(0), (F.col(n) if isinstance(n, str) else n) - 1))
+
+
+def met_with_pivots(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Sides of the tiles in which each cid of pairs(cid, pivot) meets its pivot."""
+    n = pairs.join(sizes, "cid").groupBy("pivot").agg(F.count("*").alias("m"), F.sum("bytes").alias("b")).select("pivot", parts_of("m", "b").alias("nj"))
+    part = F.pmod(F.xxhash64("cid"), F.col("nj").cast("long")).cast("int").alias("j")
+    others = pairs.join(n, "pivot").select("pivot", F.lit(0).alias("i"), part, F.lit(1).alias("side"), "cid", F.col("cid").alias("label"))
+    own = n.select("pivot", F.lit(0).alias("i"), up_to("nj").alias("j"), F.lit(0).alias("side"), F.col("pivot").alias("cid"), F.col("pivot").alias("label"))
+    return own.union(others)
+
+
+def met_with_all(marked: DataFrame) -> DataFrame:
+    """Sides of the tiles in which odd classes meet all of their clusters. marked: pivot, cid, label, odd, bytes."""
+    sum_if = lambda c: F.sum(F.when(F.col("odd"), c).otherwise(0).cast("long"))
+    n = marked.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("bytes").alias("b"), sum_if(F.lit(1)).alias("om"), sum_if(F.col("bytes")).alias("ob")).where("om > 0")
+    n = n.select("pivot", parts_of("m", "b").alias("nj"), parts_of("om", "ob").alias("ni"))
+    every = marked.join(n, "pivot")
+    part = lambda c: F.pmod(F.xxhash64("cid"), F.col(c).cast("long")).cast("int")
+    odd = every.where("odd").select("pivot", part("ni").alias("i"), up_to("nj").alias("j"), F.lit(0).alias("side"), "cid", "label")
+    return odd.union(every.select("pivot", up_to("ni").alias("i"), part("nj").alias("j"), F.lit(1).alias("side"), "cid", "label"))
+
+
+def candidates(classes: DataFrame) -> DataFrame | None:
+    """pivot and cid of all classes that share a list of postings with a pivot; None if there is none."""
     # a coordinate-value pair as one number: the coordinate above the 32 bits of the value
     tokens = classes.select("cid", F.posexplode("sig").alias("k", "value")).select("cid", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("tok"))
     shared = cut(tokens.groupBy("tok").agg(F.count("*").alias("freq")).where("freq > 1"), "frequent-coordinates")
     held = tokens.join(shared, "tok").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("freq", "tok"))).alias("held"), F.sum("freq").alias("score"))
     held = held.where(F.size("held") >= MATCHES)
-    posts = cut(held.select("cid", "score", F.expr(f"transform(slice(held, 1, size(held) - {MATCHES - 1}), x -> x.tok)").alias("toks")), "posted")
-    posted = posts.select("cid", "score", F.explode("toks").alias("tok"))
-    lists = posted.groupBy("tok").agg(F.max(F.struct(F.col("score"), (-F.col("cid")).alias("c"))).alias("p"), F.count("*").alias("m")).where("m > 1")
-    lists = cut(lists.select("tok", (-F.col("p.c")).alias("pivot")), "pivots")
-    if lists.isEmpty():
+    posts = cut(held.select("cid", "score", F.explode(F.expr(f"transform(slice(held, 1, size(held) - {MATCHES - 1}), x -> x.tok)")).alias("tok")), "postings")
+    free(shared)
+    lists = posts.groupBy("tok").agg(F.max(F.struct(F.col("score"), (-F.col("cid")).alias("c"))).alias("p"), F.count("*").alias("m")).where("m > 1")
+    pairs = cut(posts.join(lists.select("tok", (-F.col("p.c")).alias("pivot")), "tok").where("cid != pivot").select("pivot", "cid").distinct(), "pairs-with-pivots")
+    free(posts)
+    return None if pairs.isEmpty() else pairs
+
+
+def class_roots(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame | None:
+    """node and root of all classes (cid, k1, k2, sig) that link with another; docs: k1, k2, text."""
+    pairs = candidates(classes)
+    if pairs is None:
         return None
-    members = cut(posted.join(lists, "tok").select("tok", "cid", "pivot"), "postings-of-lists")
-    needed = members.select("cid").distinct()
-    bits = F.transform(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.array_contains(F.transform("toks", lambda t: F.shiftright(t, 32)), k.cast("long")).cast("tinyint"))
-    packed = classes.join(needed, "cid", "left_semi").join(posts.select("cid", "toks"), "cid")
-    packed = cut(packed.select("cid", "sig", bits.alias("under")), "packed-signatures")
-    sets = cut(full_sets(texts.join(needed, "cid", "left_semi"), words), "candidate-sets")
-    pairs = members.where("cid != pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-    links = cut(confirmed(pairs, sets, packed), "links")
-    for turn in range(ROUNDS + 1):
-        roots = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-        label = lambda df, of, to: df.join(roots.select(F.col("node").alias(of), F.col("root").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))  # noqa: E731, B023
-        marked = label(label(members, "cid", "label"), "pivot", "pivot_label")
-        marked = cut(marked.select("tok", "cid", "label", (F.col("label") != F.col("pivot_label")).alias("odd")), "marked")
-        open_lists = marked.where("odd").select("tok").distinct()
-        marked = marked.join(open_lists, "tok", "left_semi")
-        if marked.isEmpty():
-            return roots
-        more = cut(confirmed(met(marked.join(packed, "cid"), BEST if turn < ROUNDS else None), sets), "more-links")
-        if more.isEmpty() and turn == ROUNDS:
-            return roots
-        links = links.union(more)
-    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-
-def grouped(docs: DataFrame, carry: list[str], words: int = SHINGLE, key: str = "doc_id") -> DataFrame:
-    """For each row a struct `doc` of the columns in carry, n_shingles, component (smallest key of what it links with, step by
-    step) and head (true for one row of each component)."""
-    rows = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.col(f"`{key}`").alias("id"), "text").withColumn("row", F.monotonically_increasing_id()), "rows")
-    marks = cut(signed(rows, words), "signatures")
-    every = rows.select("row", "id").join(marks.where("n > 0"), "row")
-    heads = every.groupBy("d1", "d2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head"), F.first("sig").alias("sig"))
-    classes = cut(heads.select("d1", "d2", F.col("head.row").alias("cid"), "head", "sig"), "classes")
-    roots = class_roots(classes, rows.select(F.col("row").alias("cid"), "text"), words)
-    named = classes.drop("sig")
+    needed = pairs.select("cid").union(pairs.select("pivot")).distinct()
+    wanted = classes.join(needed, "cid", "left_semi").select("cid", "k1", "k2")
+    # a text may stand in a great many rows: one is taken of each task's, then one of all
+    texts = docs.join(wanted, ["k1", "k2"]).groupBy("cid").agg(F.first("text").alias("text"))
+    texts = cut(texts, "candidate-texts")
+    sizes = texts.select("cid", F.octet_length("text").cast("long").alias("bytes"))
+    sig = classes.select("cid", "sig")
+    both = pairs.join(sig, "cid").join(sig.select(F.col("cid").alias("pivot"), F.col("sig").alias("other")), "pivot")
+    equal = F.aggregate(F.zip_with("sig", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    matched = cut(both.where(equal >= MATCHES).select("pivot", "cid"), "matched-pairs")
+    links = cut(compared(met_with_pivots(matched, sizes), texts, words), "links")
+    roots = components(links)
+    free(matched)
+    named = lambda df, of, to: df.join(roots.select(F.col("node").alias(of), F.col("root").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))
+    every = pairs.union(pairs.select("pivot", F.col("pivot").alias("cid")).distinct())
+    marked = named(named(every, "cid", "label"), "pivot", "own").withColumn("odd", F.col("label") != F.col("own"))
+    marked = cut(marked.join(sizes, "cid").select("pivot", "cid", "label", "odd", "bytes"), "marked")
+    more = cut(compared(met_with_all(marked), texts, words), "more-links")
+    free(pairs, texts, marked)
+    if more.isEmpty():
+        free(links, more)
+        return roots
+    free(roots)
+    roots = components(links.union(more))
+    free(links, more)
+    return roots
+
+
+def grouped(docs: DataFrame, words: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """For each row its key as id, k1 and k2 (of its text), n_shingles, component (smallest key of what it links with, step by step)
+    and head (true for one row of each component, and where there is no shingle)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    plain = docs.select(F.col(f"`{key}`").alias("id"), *text_key(F.col("text")), text.alias("text"))
+    marks = cut(signed(plain.withColumn("row", F.monotonically_increasing_id()), words), "signatures")
+    head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "k1", "k2")).alias("head")
+    classes = marks.where("n > 0").groupBy("d1", "d2").agg(head, F.first("sig").alias("sig"))
+    classes = cut(classes.select("d1", "d2", F.col("head.row").alias("cid"), "head.k1", "head.k2", "head", "sig"), "classes")
+    roots = class_roots(classes, plain.select("k1", "k2", "text"), words)
+    named = classes.select("d1", "d2", "cid", "head")
     if roots is not None:
         named = named.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        least = named.groupBy("root").agg(F.min("head").alias("least"))
-        named = named.join(least, "root").select("d1", "d2", "least")
+        named = named.join(named.groupBy("root").agg(F.min("head").alias("least")), "root").select("d1", "d2", "least")
     else:
         named = named.select("d1", "d2", F.col("head").alias("least"))
-    by_row = marks.select("row", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select("row", "n", "least")
-    out = rows.select("doc", "id", "row").join(by_row, "row")
     component = F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id"))
-    return out.select("doc", F.col("id"), F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(F.col("row") == F.col("least.row"), F.lit(True)).alias("head"))
+    out = marks.select("row", "id", "k1", "k2", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    out = out.select("id", "k1", "k2", F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(F.col("row") == F.col("least.row"), F.lit(True)).alias("head"))
+    out = cut(out, "near-duplicates")
+    free(marks, classes, roots)
+    return out
 
 
 def deduplicated(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component; documents without words all stay."""
-    return grouped(docs, docs.columns, words).where("head").select("doc.*")
+    """docs with one row of each component; documents without words all stay. Of rows with equal text and doc_id one stays."""
+    keep = grouped(docs, words).where("head AND n_shingles > 0").select(F.col("id").alias("_id"), F.col("k1").alias("_1"), F.col("k2").alias("_2"))
+    blank = F.length(F.translate(F.coalesce(F.col("text"), F.lit("")), " \t\n\x0b\x0c\r", "")) == 0
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), blank.alias("blank"), F.col("doc_id").alias("id"), *text_key(F.col("text")))
+    mine = (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & F.col("id").eqNullSafe(F.col("_id"))
+    first = rows.where(~F.col("blank")).join(keep, mine, "left_semi").dropDuplicates(["k1", "k2", "id"])
+    return first.select("doc.*").union(rows.where("blank").select("doc.*"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = grouped(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], words=4)
+    out = grouped(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 

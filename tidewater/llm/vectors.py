@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ._graph import components, local_roots
 from ._store import cut
 
 THRESHOLD = 0.9
@@ -198,20 +198,6 @@ def range_search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, thres
     return queries[who[keep]], rows[keep]
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row of each row's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def builder(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("cid")
     x = unit(pdf["v"])
