@@ -61,8 +61,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of each text's shingles of n words; of its whole word sequence if that is shorter."""
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and where each text's begin."""
     data = np.frombuffer(b" ".join(texts).translate(LOWER) + b" ", np.uint8)
     white = WHITE[data]
     inside = ~white
@@ -70,7 +70,12 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     end = np.flatnonzero(white & np.concatenate([[False], inside[:-1]]))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(BASE, len(data)), dtype=np.uint64)])
     words = mixed((sums[end] - sums[start]) * powers(INVERSE, len(data))[start] + (end - start).astype(np.uint64))
-    edges = np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+    return words, np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+
+
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles of n words; of its whole word sequence if that is shorter."""
+    words, edges = hashed_words(texts)
     rolled = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):
         rolled += words[k : len(words) - n + 1 + k] * PLACE[k]
@@ -210,8 +215,10 @@ def candidates(classes: DataFrame) -> DataFrame | None:
     posts = cut(held.select("cid", "score", F.explode(F.expr(f"transform(slice(held, 1, size(held) - {MATCHES - 1}), x -> x.tok)")).alias("tok")), "postings")
     free(shared)
     lists = posts.groupBy("tok").agg(F.max(F.struct(F.col("score"), (-F.col("cid")).alias("c"))).alias("p"), F.count("*").alias("m")).where("m > 1")
-    pairs = cut(posts.join(lists.select("tok", (-F.col("p.c")).alias("pivot")), "tok").where("cid != pivot").select("pivot", "cid").distinct(), "pairs-with-pivots")
-    free(posts)
+    # a table, as a join with an aggregate can't be split where a coordinate is hot
+    lists = cut(lists.select("tok", (-F.col("p.c")).alias("pivot")), "lists")
+    pairs = cut(posts.select("tok", "cid").join(lists, "tok").where("cid != pivot").select("pivot", "cid").distinct(), "pairs-with-pivots")
+    free(posts, lists)
     return None if pairs.isEmpty() else pairs
 
 
@@ -242,10 +249,13 @@ def class_roots(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame |
     if more.isEmpty():
         free(links, more)
         return roots
-    free(roots)
-    roots = components(links.union(more))
-    free(links, more)
-    return roots
+    # labels are roots already: only what they tie together is new
+    second = components(more)
+    over = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    out = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    out = cut(out.union(second.join(roots, "node", "left_anti").select("node", "root")), "roots")
+    free(links, more, roots, second)
+    return out
 
 
 def grouped(docs: DataFrame, words: int = SHINGLE, key: str = "doc_id") -> DataFrame:
