@@ -1,11 +1,12 @@
 """Secret scans with multipart credential linking.
 
 Every text is searched for strong findings (assign, access, hex), which are always reported, and for weak candidates:
-identifiers (user), secrets (key) and endpoints (host). A weak candidate is reported only if a complementary part stands
+identifiers (user: named accounts, mail addresses), secrets (key) and endpoints (host: URLs, named hosts, IPv4 addresses). A weak candidate is reported only if a complementary part stands
 within SCOPE code points of it in the same text: an identifier or an endpoint beside a secret, a secret beside either.
 Strong findings count as parts too (access as an identifier, assign and hex as secrets). The parts are joined by
 intervals: equality of text and grid cell of SCOPE code points, then the distance. A cell holds few parts, as parts have
-a least length, so the join grows with the number of parts.
+a least length, so the join grows with the number of parts. Equal texts are joined once, and rows of which no part can be
+linked take no part in any join.
 
 Texts are scanned once, in the rows they stand in; positions come from the lengths of what stands between matches.
 
@@ -27,9 +28,9 @@ ASSIGN_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 # Weak parts.
-USER = r"""(?i)\b(?:user(?:name)?|login|account(?:_?id)?|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
+USER = r"""(?i)\b(?:user(?:name)?|login|account(?:_?id)?|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"""
 KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,128}(?![A-Za-z0-9+/=_-])"
-HOST = r"""(?i)\b(?:[a-z][a-z0-9+.-]{1,10}://[^\s"'<>]{4,}|(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9][a-z0-9.-]{3,}(?::\d{2,5})?)"""
+HOST = r"""(?i)\b(?:[a-z][a-z0-9+.-]{1,10}://[^\s"'<>]{4,}|(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9][a-z0-9.-]{3,}(?::\d{2,5})?)|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::\d{2,5})?(?![0-9.]*[0-9])"""
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "user", "key", "host")
@@ -89,7 +90,8 @@ def scanned(docs: DataFrame, carry: list[str]) -> DataFrame:
     rows = cut(rows.select("row", "key", parts_of(F.col("text")).alias("parts")), "secret-parts")
     role = F.array(*[F.lit(ROLE[k]) for k in KINDS])
     has = lambda r: F.exists("parts", lambda x: role[x["kind"]] == r)
-    linkable = rows.where(F.exists("parts", lambda x: x["kind"] >= len(BASE_KINDS)) & has("secret") & (has("id") | has("host")))
+    may_link = F.exists("parts", lambda x: x["kind"] >= len(BASE_KINDS)) & has("secret") & (has("id") | has("host"))
+    linkable = rows.where(may_link)
     # equal texts have the same parts: each is joined once
     parts = linkable.groupBy("key").agg(F.first("parts").alias("parts")).select("key", F.inline("parts")).withColumn("role", role[F.col("kind")])
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / SCOPE), F.floor(hi / SCOPE)))
@@ -98,10 +100,12 @@ def scanned(docs: DataFrame, carry: list[str]) -> DataFrame:
     other = parts.select("key", "start", "end", "role", cells(F.col("start"), F.col("end")).alias("cell"))
     near = (F.col("o.start") <= F.col("w.end") + SCOPE) & (F.col("w.start") <= F.col("o.end") + SCOPE)
     linked = weak.alias("w").join(other.alias("o"), (F.col("w.key") == F.col("o.key")) & (F.col("w.cell") == F.col("o.cell")) & near & F.array_contains(needs, F.col("o.role")), "left_semi")
-    linked = linked.groupBy("key", "start", "kind", "end").count().groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
+    linked = cut(linked.groupBy("key", "start", "kind", "end").count().groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked")), "linked-parts")
     base = F.filter("parts", lambda x: x["kind"] < len(BASE_KINDS))
     nothing = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return rows.join(linked, "key", "left").select("row", base.alias("base"), F.concat(base, F.coalesce("linked", nothing)).alias("found"))
+    # a plain table on either side: the rows of a text that stands very often can be split
+    out = linkable.join(linked, "key", "left").select("row", base.alias("base"), F.concat(base, F.coalesce("linked", nothing)).alias("found"))
+    return rows.where(~may_link).select("row", base.alias("base"), base.alias("found")).union(out)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
