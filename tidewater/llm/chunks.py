@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash of the last 32 bytes cuts every text where its low bits are zero, so an insertion shifts only the
+A gear rolling hash of the last 32 bytes cuts every text where its top bits are zero, so an insertion shifts only the
 chunks beside it. Chunks are compared by a 128-bit digest: the first occurrence (by key, row digest and place) stays, later
-ones go. Counting is by digest with partial aggregation, so a chunk that stands in a third of all rows meets no single task.
+ones go. Counting is by digest with partial aggregation, and the digests that repeat are a table before rows join them, so the
+rows of a chunk that stands in a third of all rows can be split.
 
 Bounds: chunks have LEAST to MAX bytes, AVERAGE apart beyond LEAST; the last of a text may be shorter. All are compared, last
 and short ones too (MIN), so of equal texts only the first keeps anything. A passage of 50 words nearly always holds a whole
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import map_rows
-from ._store import cut
+from ._store import cut, free
 
 LEAST, AVERAGE, MAX = 32, 32, 512
 #: From so many bytes on a chunk is compared.
@@ -91,6 +92,7 @@ def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = cut(chunked(docs, key).withColumn("_row", F.struct(F.col(f"`{key}`").alias("k"), F.monotonically_increasing_id().alias("n"))), "chunks")
     each = rows.select("_row", F.inline("chunks")).where(F.col("length") >= MIN)
     again = each.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(F.struct("_row", "start")).alias("keeper")).where("times > 1").drop("times")
+    again = cut(again, "repeated-chunks")
     hits = each.join(again, ["d1", "d2"]).where(F.struct("_row", "start") != F.col("keeper")).select("_row", "start", (F.col("start") + F.col("length")).alias("end"))
     by_row = hits.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hits"))
     # linear in the number of chunks: where runs start and where they end
@@ -100,7 +102,9 @@ def repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     by_row = by_row.select("_row", F.size("hits").cast("long").alias("n_repeats"), F.expr("aggregate(hits, 0L, (s, x) -> s + x.end - x.start)").alias("n_removed"), runs.alias("removed"))
     out = rows.select("_row", F.col(f"`{key}`"), "n_bytes", F.size("chunks").cast("long").alias("n_chunks")).join(by_row, "_row", "left").drop("_row")
     nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return out.na.fill(0, ["n_repeats", "n_removed"]).withColumn("removed", F.coalesce("removed", nothing))
+    out = cut(out.na.fill(0, ["n_repeats", "n_removed"]).withColumn("removed", F.coalesce("removed", nothing)), "removed-chunks")
+    free(rows, again)
+    return out
 
 
 def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
