@@ -38,6 +38,33 @@ def test_weak_secrets_need_their_complement(docs):
     assert next(v for k, v in found.items() if k.endswith(" alone")) == set()
 
 
+def brute_spans(text):
+    """(start, kind, end) of base findings, and of weak parts with a complementary part in their scope."""
+    flags = {k: re.A | (re.I if p.startswith("(?i)") else 0) for k, p in secrets.PATTERNS.items()}
+    parts = [(m.start(), k, m.end()) for k, p in secrets.PATTERNS.items() for m in re.finditer(p.removeprefix("(?i)"), text, flags[k]) if k != "assign" or len(m[2]) >= secrets.ASSIGN_VALUE]
+
+    def linked(a, k, b):
+        return any(secrets.ROLE[o] in secrets.NEEDS[k] and x <= b + secrets.SCOPE and a <= y + secrets.SCOPE for x, o, y in parts)
+
+    return sorted(p for p in parts if p[1] in secrets.BASE_KINDS or linked(*p))
+
+
+def test_links_of_weak_parts(spark):
+    rng = np.random.default_rng(21)
+    hexes = "0123456789abcdef"
+    made = [
+        lambda: 'token = "' + "".join(rng.choice(list(hexes), 40)) + '"', lambda: "AKIA" + "".join(rng.choice(list("ABCDEFGH12345"), 18)),
+        lambda: f"ab.{rng.integers(99)}@mail{rng.integers(9)}.example.com", lambda: ".".join(map(str, rng.integers(1, 255, 4))), lambda: "see https://db.example.com/x",
+        lambda: "Ab3" + "xY7" * 12, lambda: f"user: name{rng.integers(99)}", lambda: "server=host-7.local:8080", lambda: "1.2.3.4.5", lambda: "x" * int(rng.integers(1, 400)), lambda: "wörd " * int(rng.integers(1, 120)),
+    ]
+    texts = [" ".join(made[k]() for k in rng.integers(0, len(made), rng.integers(1, 14))) for _ in range(300)]
+    out = secrets.scanned(spark.createDataFrame(list(enumerate([*texts, *texts[:60]])), "doc_id bigint, text string"), ["text"]).collect()
+    got = Counter((r["row"]["text"], tuple(sorted((x["start"], secrets.KINDS[x["kind"]], x["end"]) for x in r["found"]))) for r in out)
+    assert got == Counter((t, tuple(brute_spans(t))) for t in [*texts, *texts[:60]])
+    weak = {k for _, found in got for _, k, _ in found}
+    assert weak == set(secrets.KINDS)
+
+
 def test_many_secrets_in_a_text(spark):
     text = "token=abcdefgh " * 3000
     row = secrets.scanned(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), ["doc_id"]).first()
@@ -78,15 +105,17 @@ def brute_components(rows, n, lower=True):
 @pytest.mark.parametrize("n", [4, 5])
 def test_minhash(docs, rows, n):
     sets, root = brute_components(rows, n)
-    got = [(r["id"], r["n_shingles"], r["component"]) for r in neardup.grouped(docs, ["doc_id"], n).collect()]
+    got = [(r["id"], r["n_shingles"], r["component"]) for r in neardup.grouped(docs, n).collect()]
     same(got, [(i, len(s), c) for (i, _), s, c in zip(rows, sets, root, strict=True)])
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_minhash_chains_with_odd_members(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("tile", "most", "size"), [(5, 5, 8 << 20), (256, 2048, 8 << 20), (256, 2048, 3000)])
+def test_minhash_chains_with_odd_members(spark, monkeypatch, tile, most, size):
     """Long chains of near copies, where the pivot of a list is not within reach of all: links in steps only."""
-    monkeypatch.setattr(neardup, "ROUNDS", rounds)
-    monkeypatch.setattr(neardup, "TILE", 5)
+    monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "MOST", most)
+    monkeypatch.setattr(neardup, "TILE_BYTES", size)
+    monkeypatch.setattr(neardup, "COLUMNS", 50)
     rng = np.random.default_rng(3)
     rows = []
     for chain in range(4):
@@ -97,7 +126,7 @@ def test_minhash_chains_with_odd_members(spark, monkeypatch, rounds):
             rows.append((len(rows), " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     _, root = brute_components(rows, 4)
-    assert {r["id"]: r["component"] for r in neardup.grouped(df, ["doc_id"], 4).collect()} == dict(zip(range(len(rows)), root, strict=True))
+    assert {r["id"]: r["component"] for r in neardup.grouped(df, 4).collect()} == dict(zip(range(len(rows)), root, strict=True))
 
 
 def test_minhash_misses_less_than_one_in_a_million():
@@ -263,6 +292,57 @@ def test_suffixes(spark, docs, rows, monkeypatch, tmp_path, limit):
     same([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out], [(i, *x) for (i, _), x in zip(rows, brute_repeats(rows), strict=True)])
 
 
+@pytest.mark.parametrize("piece", [4 << 20, 1000])
+def test_suffixes_of_other_sizes(spark, rows, monkeypatch, piece):
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    size = suffixes.Size(200, 100)
+    some = [(i, t) for i, t in rows if t and len(t) < 20_000]
+    lost = {i: 0 for i, _ in some}
+    where = Counter(t.encode()[k : k + 200] for _, t in some for k in range(len(t.encode()) - 199))
+    out = suffixes.without_repeats(spark.createDataFrame(some, "doc_id bigint, text string"), size).collect()
+    expected = []
+    for i, t in some:
+        b = t.encode()
+        kept = np.ones(len(b), bool)
+        for k in range(len(b) - 199):
+            if where[b[k : k + 200]] > 1:
+                kept[k : k + 200] = False
+        expected.append((i, np.frombuffer(b, np.uint8)[kept].tobytes().decode(errors="ignore")))
+    same([(r["doc_id"], r["text"]) for r in out], expected)
+    assert len(lost) > 50
+
+
+def test_passages_by_words(spark, tmp_path):
+    """A passage of 51 words in two texts is found whatever its bytes and white space; repeats within one text aren't."""
+    rng = np.random.default_rng(31)
+    text = lambda n: [f"{'abc'[k % 3]}{k}" for k in rng.integers(0, 5000, n)]
+    rows, n = [], 40
+    for k in range(n):
+        passage = text(51)
+        rows.append((2 * k, " ".join([*text(70), *passage, *text(k)])))
+        rows.append((2 * k + 1, "\n".join([*text(9), *passage, *text(80)]).upper()))
+    once = text(60)
+    rows += [(1000, " ".join(text(200))), (1001, " ".join(once * 3)), (1002, None), (1003, " ".join(text(50)))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_repeats"] for r in suffixes.op6_suffix_sort_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[i] > 0 for i in range(2 * n))
+    assert [got[i] for i in (1000, 1001, 1002, 1003)] == [0, 0, 0, 0]
+
+
+def test_freed_tables_are_not_needed(spark, docs, tmp_path):
+    """What an operator's result reads outlives the tables that it has freed; releasing the rest ends it."""
+    from pathlib import Path
+
+    from tidewater.llm._store import owned, read_by, release
+
+    with owned() as paths:
+        out = neardup.grouped(docs, 4)
+    assert out.count() == docs.count()
+    assert len(paths) == 1 and {p.removeprefix("file:") for p in read_by(out)} == {p.removeprefix("file:") for p in paths}
+    release(spark, paths)
+    assert not Path(paths[0].removeprefix("file://")).exists()
+
+
 def test_suffix_order():
     rng = np.random.default_rng(4)
     strings = [bytes(rng.integers(97, 99, rng.integers(1, 30)).tolist()) for _ in range(300)]

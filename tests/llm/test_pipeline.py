@@ -1,36 +1,32 @@
 """run() against a plain composition of brute-force stages."""
 
-import re
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_components
+from tests.llm.test_operators import brute_components, brute_spans
 from tidewater.llm import packing, quality, secrets
 
 
-def kept_bytes(rows):
+def kept_bytes(rows, n):
     where = Counter()
     for _, t in rows:
         b = t.encode()
-        where.update(b[i : i + 400] for i in range(len(b) - 399))
+        where.update(b[i : i + n] for i in range(len(b) - n + 1))
     for i, t in rows:
         b = t.encode()
         covered = np.zeros(len(b), bool)
-        for k in range(len(b) - 399):
-            if where[b[k : k + 400]] > 1:
-                covered[k : k + 400] = True
+        for k in range(len(b) - n + 1):
+            if where[b[k : k + n]] > 1:
+                covered[k : k + n] = True
         yield i, np.frombuffer(b, np.uint8)[~covered].tobytes().decode(errors="ignore")
 
 
 def masked(t):
-    assign = re.compile(secrets.ASSIGN.removeprefix("(?i)"), re.I | re.A)
-    found = [m.span() for m in assign.finditer(t) if len(m[2]) >= secrets.ASSIGN_VALUE]
-    found += [m.span() for p in (secrets.ACCESS, secrets.HEX) for m in re.finditer(p, t)]
     out, at = [], 0
-    for a, b in sorted(found):
+    for a, _, b in brute_spans(t):
         if a >= at:
             out += [t[at:a], secrets.MASK]
         at = max(at, b)
@@ -55,7 +51,7 @@ def test_run(spark, docs, rows, tmp_path):
 
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
     expected = Counter()
-    for i, t in kept_bytes(list(one.items())):
+    for i, t in kept_bytes(list(one.items()), corpus_pipeline.PASSAGE.length):
         ids = [*tokenizer.encode(masked(t), add_special_tokens=False).ids, 0]
         for k in range(0, len(ids), packing.CAPACITY):
             expected[i, k // packing.CAPACITY, tuple(ids[k : k + packing.CAPACITY])] += 1
