@@ -33,6 +33,12 @@ def test_top_n_sums(spark):
 def test_secondary_sort(spark):
     df = frame(spark, [("2012", "1", 5), ("2012", "1", 45), ("2012", "2", 10)], "a string, b string, v int").withColumn("k", F.concat_ws("-", "a", "b"))
     assert [(r["k"], r["v"]) for r in ranking.secondary_sort(df, "k", "v", total=True).collect()] == [("2012-2", 10), ("2012-1", 45), ("2012-1", 5)]
+    many = frame(spark, [(f"k{i % 11}", i * 7 % 13) for i in range(200)], "k string, v int")
+    own = ranking.secondary_sort(many, "k", "v", partitions=3).select("k", "v", F.spark_partition_id().alias("n")).collect()
+    assert len({r["n"] for r in own}) > 1 and len({(r["k"], r["n"]) for r in own}) == 11
+    for n in {r["n"] for r in own}:
+        rows = [(r["k"], r["v"]) for r in own if r["n"] == n]
+        assert rows == sorted(rows, reverse=True)
     t = frame(spark, [("2012", "01", 5), ("2012", "01", 45), ("2012", "01", 35), ("2012", "02", 10)], "y string, m string, t int")
     assert tuples(ranking.joined_values(t, [F.col("y"), F.col("m")], F.col("t"), F.col("t").cast("string"))) == [("201201", "45,35,5,"), ("201202", "10,")]
 
@@ -44,11 +50,26 @@ def test_left_joins(spark, missing, expected):
     assert tuples(joins.location_counts(tx, users, "u", "p", "loc", missing)) == expected
 
 
+def test_location_lists(spark):
+    users = frame(spark, [("u1", "UT"), ("u2", "GA")], "u string, loc string")
+    tx = frame(spark, [("p1", "u1"), ("p1", "u2"), ("p1", "u2"), ("p2", "u9")], "p string, u string")
+    assert tuples(joins.location_lists(tx, users, "u", "p", "loc")) == [("p1", ["GA", "UT"]), ("p2", [])]
+
+
+def test_top_n_rows_and_keys(spark):
+    df = frame(spark, [("a", 1.5), ("b", 9.0), ("c", 9.0), ("d", None)], "r string, w double")
+    assert [r["r"] for r in ranking.top_n_rows(df, "w", 2, ["r"]).collect()] == ["b", "c"]
+    sums = frame(spark, [("A", 3), ("B", 5), ("A", 4), ("C", 7), ("B", 2)], "k string, f int")
+    assert tuples(ranking.top_n_keys(sums, "k", F.col("f"), 2)) == [("A", 7), ("B", 7)]
+
+
 def test_relative_frequency(spark):
     df = frame(spark, [(["a", "b", "a"],), (["x"],), ([],)], "t array<string>")
     assert tuples(sequences.relative_frequency(df, "t", 2)) == [("a", "a", 0.5), ("a", "b", 0.5), ("b", "a", 1.0)]
     dirty = frame(spark, [(["a-", "--", "b"],)], "t array<string>")
     assert tuples(sequences.relative_frequency(sequences.clean_tokens(dirty, "t"), "t", 1)) == [("a", "b", 1.0), ("b", "a", 1.0)]
+    line = frame(spark, [("a- -- b  Ünï_c1\nd ,", )], "l string")
+    assert sequences.clean_words(line, "l").first()[0] == sequences.clean_tokens(line.select(F.split("l", " ").alias("t")), "t").first()[0] == ["a", "b", "n_c1d"]
 
 
 def test_moving_average(spark):
@@ -62,6 +83,8 @@ def test_moving_average(spark):
 def test_baskets(spark):
     df = frame(spark, [(["a", "b"],), (["b", "a", "c"],), (["a"],)], "items array<string>")
     assert {(",".join(r[0]), r[1]) for r in baskets.frequent_itemsets(df, "items", 3).collect()} == {("a", 3), ("b", 2), ("c", 1), ("a,b", 2), ("a,c", 1), ("b,c", 1), ("a,b,c", 1)}
+    assert tuples(baskets.frequent_itemsets(df, "items")) == tuples(baskets.frequent_itemsets(df, "items", 3))
+    assert tuples(baskets.frequent_itemsets(df, "items", None, 2)) == [(["a"], 3), (["a", "b"], 2), (["b"], 2)]
     rules = {(",".join(r[0]), r[1], round(r[2], 4)) for r in baskets.association_rules(df, "items", 3).collect()}
     assert rules == {("a", "b", 0.6667), ("b", "a", 1), ("a", "c", 0.3333), ("c", "a", 1), ("b", "c", 0.5), ("c", "b", 1), ("a,b", "c", 0.5), ("a,c", "b", 1), ("b,c", "a", 1)}
     fp = {(",".join(sorted(r["antecedent"])), r["consequent"][0], round(r["confidence"], 4)) for r in baskets.fp_growth_rules(df, "items", 0.01, 0.0).collect()}
@@ -81,6 +104,15 @@ def test_common_friends(spark):
     assert got == {(1, 2): [3, 4], (1, 3): [2], (1, 4): [2], (2, 3): [1], (2, 4): [1], (1, 5): []}
 
 
+def test_one_sided_friends(spark):
+    lines = frame(spark, [("1,2 3  4",), ("2,1 3",), ("3,",), ("5",)], "value string")
+    lists = graphs.friend_lists(lines)
+    assert tuples(lists) == [(1, [2, 3, 4]), (2, [1, 3]), (3, []), (5, [])]
+    none, whole = ({(r["p"], r["q"]): r["common"] for r in graphs.common_friends(graphs.adjacency_edges(lists), one_sided=x).collect()} for x in ("none", "all"))
+    assert none == {(1, 2): [3], (1, 3): [], (1, 4): [], (2, 3): []}
+    assert whole == {(1, 2): [3], (1, 3): [2, 3, 4], (1, 4): [2, 3, 4], (2, 3): [1, 3]}
+
+
 @pytest.mark.parametrize(("edges", "expected"), [([(1, 2), (2, 3), (1, 3), (3, 4), (2, 4), (3, 1), (2, 2)], [(1, 2, 3), (2, 3, 4)]), ([(0, 1), (0, 2), (1, 3), (2, 3)], [])])
 def test_triangles(spark, edges, expected):
     assert tuples(graphs.triangles(frame(spark, edges, "src bigint, dst bigint"))) == expected
@@ -135,7 +167,24 @@ def test_days(spark):
     assert sorted(r["day_type"] for r in trips.day_types(days, "d", known).collect()) == [-1, 0, 2, 3]
 
 
+def test_jdbc_append(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    for _ in range(2):
+        writers.append_jdbc(frame(spark, [(1, 2.5), (2, 3.5)], "k int, v double"), url, "trips", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    back = spark.read.format("jdbc").options(**writers.jdbc_options(url, "trips", driver="org.apache.derby.jdbc.EmbeddedDriver")).load()
+    assert tuples(back) == [(1, 2.5), (1, 2.5), (2, 3.5), (2, 3.5)]
+
+
+def test_console(spark, capsys):
+    df = frame(spark, [("a", 1)], "k string, v int")
+    writers.show(df)
+    writers.print_rows(df)
+    assert "(a,1)" in capsys.readouterr().out
+
+
 def test_scalars(spark):
+    at = spark.sql("SELECT TIMESTAMP '1970-01-02 00:00:01' AS t, DATE '1970-01-02' AS d, ' a  b\tc ' AS l")
+    assert at.select(scalars.epoch_millis(F.col("t")), scalars.epoch_millis(F.col("d")), scalars.split_white(F.col("l"))).first()[:] == (86_401_000, 86_400_000, ["a", "b", "c"])
     df = frame(spark, [("a,b,,", '{"data":1}', "oops")], "l string, j string, bad string")
     assert df.select(scalars.split_fields(F.col("l")), scalars.json_int(F.col("j"), "data"), scalars.json_int(F.col("bad"), "data")).first()[:] == (["a", "b"], 1, -1)
     v = spark.sql("SELECT array(0D, 3D) AS a, array(4F, 0F) AS b, array(1D) AS c")
@@ -156,6 +205,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.read_lines(spark, str(tmp_path / "tsv")).first()[0] == "a\t1\t2"
     writers.write_parquet(df, str(tmp_path / "pq"))
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 1
+    with pytest.raises(Exception, match="(?i)exists"):
+        writers.write_parquet(df, str(tmp_path / "pq"))
     assert readers.path_exists(spark, str(tmp_path / "pq")) and not readers.path_exists(spark, str(tmp_path / "none"))
     assert readers.list_files(spark, str(tmp_path / "tsv")).count() >= 1
     assert writers.jdbc_options("jdbc:x", "t", user="u") == {"url": "jdbc:x", "dbtable": "t", "user": "u", "batchsize": "10000"}

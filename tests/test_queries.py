@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from tests.oracle import by_duckdb, by_spark
@@ -18,6 +19,19 @@ def test_k_means_is_reproducible(spark):
     assert a == b and len(a) == 3 and sum(r["size"] for r in a) > 0
 
 
+def test_k_means_sizes_and_cost_follow_from_its_centres(spark):
+    rows = QUERIES["w25_k_means"](spark, FOLDER).orderBy("cluster").collect()
+    x = np.array([r["embedding"] for r in read_table(spark, FOLDER, "embeddings").select("embedding").collect()], float)
+    far = ((x[:, None, :] - np.array([r["center"] for r in rows])[None]) ** 2).sum(2)
+    assert np.bincount(far.argmin(1), minlength=len(rows)).tolist() == [r["size"] for r in rows]
+    assert abs(far.min(1).sum() - rows[0]["cost"]) < 1e-6 * rows[0]["cost"]
+
+
+def test_secondary_sort_is_sorted(spark):
+    out = [(r["key"], r["value"]) for r in QUERIES["w06_secondary_sort"](spark, FOLDER).collect()]
+    assert out == sorted(out, reverse=True)
+
+
 def test_multi_sort_is_sorted(spark):
     out = [(r["ts"], r["value"], r["event_id"]) for r in multi_sort(read_table(spark, FOLDER, "events"), "ts", "value", "event_id").collect()]
     assert out == sorted(out)

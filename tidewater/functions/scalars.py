@@ -18,6 +18,21 @@ def clean_token(token: Column) -> Column:
     return F.regexp_replace(token, r"\W", "")
 
 
+def clean_line(line: Column) -> Column:
+    """line without anything but ASCII letters, digits, underscores and spaces: its tokens are clean, at the cost of one pass."""
+    return F.regexp_replace(line, r"[^0-9A-Za-z_ ]+", "")
+
+
+def split_white(line: Column) -> Column:
+    """Fields of a line that white space parts; none of an empty line."""
+    return F.array_remove(F.split(line, r"\s+"), "")
+
+
+def epoch_millis(ts: Column) -> Column:
+    """Milliseconds since 1970 of a date or an instant."""
+    return F.unix_millis(ts.cast("timestamp"))
+
+
 def within(ts: Column, start: str, end: str, closed: str = "left") -> Column:
     """Whether ts lies between two instants; closed is 'left' or 'neither'. False where ts can't be read."""
     t = F.try_to_timestamp(ts.cast("string"))
@@ -39,10 +54,6 @@ def date_text(date: Column) -> Column:
     return F.date_format(date, "yyyy/MM/dd HH:mm:ss E")
 
 
-def canonical_pair(a: Column, b: Column) -> tuple[Column, Column]:
-    return F.least(a, b), F.greatest(a, b)
-
-
 def euclidean(a: Column, b: Column) -> Column:
     """Distance in double precision; NaN if the lengths differ."""
     squares = F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2)))
@@ -65,6 +76,14 @@ def all_subsets(items: Column, most: int) -> Column:
     return F.concat(*[subsets(items, k) for k in range(most + 1)])
 
 
+def every_subset(items: Column) -> Column:
+    """All subsets but the empty one of an array of distinct items, each in the array's order: one for each number whose bits pick
+    the items. Arrays have at most 30 items; larger ones raise an error."""
+    fits = F.when(F.size(items) <= 30, items).otherwise(F.raise_error(F.lit("more than 30 items: use fp_growth_rules")).cast("array<string>"))
+    numbers = F.when(F.size(fits) > 0, F.sequence(F.lit(1), F.expr("1") * F.pow(F.lit(2), F.size(fits)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda m: F.filter(items, lambda x, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1))
+
+
 def sorted_combinations(items: list, size: int | None = None) -> list[list]:
     """The same of a Python list."""
     own = sorted(set(items))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.scalars import subsets
+from tidewater.functions.scalars import every_subset, subsets
 
 
 def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
@@ -18,16 +18,25 @@ def supports(df: DataFrame, items: str, size: int) -> DataFrame:
     return df.select(F.explode(subsets(F.col(items), size)).alias("itemset")).groupBy("itemset").agg(F.count("*").alias("support"))
 
 
-def frequent_itemsets(df: DataFrame, items: str, max_size: int, min_support: int = 1) -> DataFrame:
-    out = None
-    for k in range(1, max_size + 1):
-        own = supports(df, items, k).where(F.col("support") >= min_support)
-        out = own if out is None else out.union(own)
-    return out
-
-
-def association_rules(df: DataFrame, items: str, max_size: int, min_support: int = 1, min_confidence: float = 0.0) -> DataFrame:
-    """antecedent, consequent and confidence of rules with one item as the consequent, from itemsets of 2 to max_size items."""
+def frequent_itemsets(df: DataFrame, items: str, max_size: int | None = None, min_support: int = 1) -> DataFrame:
+    """itemset and support of sets of 1 to max_size items, of any size if that is None, which at least min_support baskets hold.
+    Items that are rarer than that leave the baskets first. A basket's sets are twice as many for each item: where baskets are
+    large, use fp_growth_rules()."""
+    own = df.select(F.array_sort(F.array_distinct(items)).alias("items"))
+    if min_support > 1:
+        # the number is given before the items are spread out, so that a basket's items share it
+        each = own.withColumn("b", F.monotonically_increasing_id()).select("b", F.explode("items").alias("i"))
+        often = each.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
+        own = each.join(often.select("i"), "i", "left_semi").groupBy("b").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    # equal baskets are spread out once
+    own = own.groupBy("items").agg(F.count("*").alias("n"))
+    sets = every_subset(F.col("items")) if max_size is None else F.concat(*[subsets(F.col("items"), k) for k in range(1, max_size + 1)])
+    return own.select(F.explode(sets).alias("itemset"), "n").groupBy("itemset").agg(F.sum("n").alias("support")).where(F.col("support") >= min_support)
+
+
+def association_rules(df: DataFrame, items: str, max_size: int | None = None, min_support: int = 1, min_confidence: float = 0.0) -> DataFrame:
+    """antecedent, consequent and confidence of rules with one item as the consequent, from itemsets of 2 to max_size items (of any
+    size if that is None)."""
     sets = frequent_itemsets(df, items, max_size, min_support)
     whole = sets.where(F.size("itemset") > 1).select("itemset", "support", F.explode("itemset").alias("consequent"))
     whole = whole.select(F.array_except("itemset", F.array("consequent")).alias("antecedent"), "consequent", F.col("support").alias("both"))

@@ -49,16 +49,16 @@ def naive_bayes(records: DataFrame, attributes: list[str], table: DataFrame, cla
     probabilities (0 where there is none); of equally likely ones the smallest. Records are thinned to distinct ones first."""
     distinct = records.select(*attributes).distinct().select(F.struct(*attributes).alias("rec"), F.array(*attributes).alias("attrs"))
     classes = classes.select("label").distinct().join(prior, "label", "left")
-    # a model's classes and probabilities are few
+    # classes are few; probabilities grow with the attributes' values, so the optimizer chooses their join
     scores = distinct.crossJoin(F.broadcast(classes)).select("rec", "label", F.coalesce("prior", F.lit(1.0)).alias("prior"), F.explode("attrs").alias("attr"))
-    scores = scores.join(F.broadcast(table), ["attr", "label"], "left")
+    scores = scores.join(table, ["attr", "label"], "left")
     scores = scores.groupBy("rec", "label").agg((F.first("prior") * F.product(F.coalesce("prob", F.lit(0.0)))).alias("score"))
     first = Window.partitionBy("rec").orderBy(F.desc("score"), "label")
     return scores.withColumn("place", F.row_number().over(first)).where("place = 1").select("rec.*", F.col("label").alias("best"), "score")
 
 
 def k_means(df: DataFrame, vector: str, k: int = 3, max_iter: int = 10, seed: int = 42):
-    """A fitted model of k-means by the parallel start; its cost is summary.trainingCost."""
+    """A fitted model of k-means by the parallel start."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -66,8 +66,16 @@ def k_means(df: DataFrame, vector: str, k: int = 3, max_iter: int = 10, seed: in
     return KMeans(k=k, maxIter=max_iter, seed=seed, initMode="k-means||").fit(rows)
 
 
+def k_means_cost(df: DataFrame, vector: str, centers: list[list[float]]) -> float:
+    """Sum over all rows of the squared distance to the nearest centre."""
+    near = F.array_min(F.array(*[euclidean(F.col(vector), F.array(*[F.lit(float(x)) for x in c])) for c in centers]))
+    return float(df.where(F.col(vector).isNotNull()).agg(F.sum(near * near)).first()[0] or 0.0)
+
+
 def k_means_centers(df: DataFrame, vector: str, k: int = 3, max_iter: int = 10, seed: int = 42) -> DataFrame:
-    """cluster, size, cost (of all clusters) and center."""
+    """cluster, size, cost (of all clusters, by the final centres) and center."""
     model = k_means(df, vector, k, max_iter, seed)
-    rows = [(i, int(n), float(model.summary.trainingCost), [float(x) for x in c]) for i, (n, c) in enumerate(zip(model.summary.clusterSizes, model.clusterCenters(), strict=True))]
+    # the summary's cost is that of the centres before the last step
+    cost = k_means_cost(df, vector, [[float(x) for x in c] for c in model.clusterCenters()])
+    rows = [(i, int(n), cost, [float(x) for x in c]) for i, (n, c) in enumerate(zip(model.summary.clusterSizes, model.clusterCenters(), strict=True))]
     return df.sparkSession.createDataFrame(rows, "cluster int, size bigint, cost double, center array<double>")

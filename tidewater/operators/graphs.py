@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.scalars import split_white
+
 
 def canonical_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct (a, b) with a < b."""
@@ -15,12 +17,22 @@ def adjacency_edges(lists: DataFrame, person: str = "person", friends: str = "fr
     return lists.select(F.col(person).alias("src"), F.explode(F.array_distinct(friends)).alias("dst"))
 
 
-def common_friends(directed: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """p, q and their common friends (sorted) for each pair of which one lists the other; none if only one has a list. Friends are
-    matched row by row, so no task holds two whole lists."""
+def friend_lists(lines: DataFrame, column: str = "value", kind: str = "bigint") -> DataFrame:
+    """person and friends from lines `person,f1 f2 f3`; a line without a comma has no friends."""
+    f = F.split(F.col(column), ",", 2)
+    friends = split_white(F.coalesce(F.get(f, F.lit(1)), F.lit("")))
+    return lines.select(F.trim(f[0]).cast(kind).alias("person"), friends.cast(f"array<{kind}>").alias("friends"))
+
+
+def common_friends(directed: DataFrame, src: str = "src", dst: str = "dst", one_sided: str = "none") -> DataFrame:
+    """p, q and their common friends (sorted) for each pair of which one lists the other. A pair of which only one lists the other
+    has none, or all friends of that one (one_sided='all'). Friends are matched row by row, so no task holds two whole lists."""
     d = directed.select(F.col(src).alias("p"), F.col(dst).alias("f")).distinct()
-    pairs = d.select(F.least("p", "f").alias("p"), F.greatest("p", "f").alias("q")).where("p != q").distinct()
-    shared = pairs.join(d, "p").join(d.select(F.col("p").alias("q"), "f"), ["q", "f"], "left_semi")
+    sides = d.where("p != f").select(F.least("p", "f").alias("p"), F.greatest("p", "f").alias("q"), F.col("p").alias("owner"))
+    pairs = sides.groupBy("p", "q").agg(F.count("*").alias("lists"), F.min("owner").alias("owner"))
+    shared = pairs.where("lists = 2").select("p", "q").join(d, "p").join(d.select(F.col("p").alias("q"), "f"), ["q", "f"], "left_semi").select("p", "q", "f")
+    if one_sided == "all":
+        shared = shared.union(pairs.where("lists = 1").join(d.select(F.col("p").alias("owner"), "f"), "owner").select("p", "q", "f"))
     lists = shared.groupBy("p", "q").agg(F.sort_array(F.collect_list("f")).alias("common"))
     kind = dict(directed.dtypes)[dst]
     return pairs.join(lists, ["p", "q"], "left").select("p", "q", F.coalesce("common", F.array().cast(f"array<{kind}>")).alias("common"))

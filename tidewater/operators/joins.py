@@ -14,6 +14,12 @@ def product_locations(tx: DataFrame, users: DataFrame, user: str, product: str,
     return tx.select(product, user).distinct().join(users.select(user, location), user, "left").select(product, location)
 
 
+def location_lists(tx: DataFrame, users: DataFrame, user: str, product: str, location: str) -> DataFrame:
+    """The sorted distinct known locations of each product's buyers."""
+    pairs = product_locations(tx, users, user, product, location)
+    return pairs.groupBy(product).agg(F.array_sort(F.collect_set(location)).alias("locations"))
+
+
 def location_counts(tx: DataFrame, users: DataFrame, user: str, product: str, location: str, missing: str = "ignore") -> DataFrame:
     """Distinct locations of each product's buyers. An unknown user's location counts as one more ('label'), doesn't count
     ('ignore'), or takes the row with it ('drop')."""

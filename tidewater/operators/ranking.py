@@ -14,6 +14,17 @@ def top_n(df: DataFrame, key: str, n: int, tie_break: list[str]) -> DataFrame:
     return best.select("r.*", F.row_number().over(Window.orderBy(F.desc(key))).cast("long").alias("rank"))
 
 
+def top_n_rows(df: DataFrame, weight: str, n: int, tie_break: list[str]) -> DataFrame:
+    """The n records of largest weight; of equal weights the first by tie_break. Every task keeps its own n before rows meet."""
+    return df.where(F.col(weight).isNotNull()).orderBy(F.desc(weight), *tie_break).limit(n)
+
+
+def top_n_keys(df: DataFrame, key: str, value: Column, n: int) -> DataFrame:
+    """key and total of the n largest sums of value by key; of equal sums the smallest keys."""
+    sums = df.groupBy(key).agg(F.sum(value.cast("long")).alias("total"))
+    return sums.orderBy(F.desc("total"), key).limit(n)
+
+
 def top_n_groups(df: DataFrame, key: str, n: int) -> DataFrame:
     """All records of the n largest distinct keys, with the key's rank. The keys are found first (n rows), so no window goes
     over all records."""

@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.scalars import clean_line, clean_token
+
 
 def relative_frequency(df: DataFrame, tokens: str, window: int = 2) -> DataFrame:
     """word, neighbor and rf: the share of a word's neighbours, at most window places away, that are the neighbor. Pairs are
-    made in each row and summed before they are exchanged."""
-    around = F.flatten(
-        F.transform(tokens, lambda w, i: F.transform(F.filter(F.transform(F.sequence(F.greatest(i - window, F.lit(0)), F.least(i + window, F.size(tokens) - 1)), lambda j: F.struct(j.alias("j"), F.get(tokens, j).alias("n"))), lambda x: x["j"] != i), lambda x: F.struct(w.alias("word"), x["n"].alias("neighbor"))))
-    )
-    pairs = df.where(F.size(tokens) > 1).select(F.inline(around)).groupBy("word", "neighbor").agg(F.count("*").alias("n"))
+    made in each row, a word with the one so many places behind it, and summed before they are exchanged; the sums count for
+    both directions."""
+    n = F.size(tokens)
+    shifted = [F.arrays_zip(F.slice(tokens, F.lit(1), F.greatest(n - d, F.lit(0))).alias("word"), F.slice(tokens, F.lit(d + 1), F.greatest(n - d, F.lit(0))).alias("neighbor")) for d in range(1, window + 1)]
+    ahead = df.where(n > 1).select(F.inline(F.concat(*shifted))).groupBy("word", "neighbor").agg(F.count("*").alias("n"))
+    both = ahead.select(F.inline(F.array(F.struct("word", "neighbor", "n"), F.struct(F.col("neighbor").alias("word"), F.col("word").alias("neighbor"), "n"))))
+    pairs = both.groupBy("word", "neighbor").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("word"))
     return pairs.select("word", "neighbor", (F.col("n") / total).alias("rf"))
 
 
 def clean_tokens(df: DataFrame, tokens: str) -> DataFrame:
     """df with tokens stripped of signs; what is empty then has no place."""
-    return df.withColumn(tokens, F.filter(F.transform(tokens, lambda x: F.regexp_replace(x, r"\W", "")), lambda x: x != ""))
+    return df.withColumn(tokens, F.array_remove(F.transform(tokens, clean_token), ""))
+
+
+def clean_words(df: DataFrame, line: str, tokens: str = "tokens") -> DataFrame:
+    """The words of lines that single spaces part, stripped of signs; the same as clean_tokens() of the split line."""
+    return df.select(F.array_remove(F.split(clean_line(F.col(line)), " "), "").alias(tokens))
 
 
 def moving_average(df: DataFrame, by: str, order: list[str], value: str, window: int = 3, out: str = "avg") -> DataFrame:

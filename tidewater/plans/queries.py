@@ -42,6 +42,11 @@ def w02_top_n_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", F.col("p_size").cast("long").alias("p_size"), "rank")
 
 
+@query("SELECT user_id, count(*) AS total FROM events GROUP BY user_id ORDER BY total DESC, user_id LIMIT 6")
+def w03_top_n_keys(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.top_n_keys(read_table(spark, d, "events"), "user_id", F.lit(1), 6)
+
+
 @query("""
 WITH s AS (SELECT user_id, count(*) AS total FROM events GROUP BY user_id), r AS (SELECT *, dense_rank() OVER (ORDER BY total DESC) AS rank FROM s)
 SELECT total, rank, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id) AS keys FROM r WHERE rank <= 6 GROUP BY total, rank""")
@@ -52,7 +57,7 @@ def w04_top_n_sums(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def w05_top_n_weight(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+    return ranking.top_n_rows(read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 10, ["o_orderkey"])
 
 
 @query("SELECT CAST(user_id AS VARCHAR) || '-' || event_type AS key, value FROM events")
@@ -70,11 +75,11 @@ def w07_joined_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _locations(spark: SparkSession, d: str, missing: str) -> DataFrame:
-    users = read_table(spark, d, "supplier").where("s_nationkey < 20").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    users = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     return joins.location_counts(read_table(spark, d, "lineitem"), users, "l_suppkey", "l_partkey", "s_nationkey", missing)
 
 
-_SIDES = "lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_nationkey < 20) s ON l_suppkey = s_suppkey"
+_SIDES = "lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey"
 
 
 @query(f"SELECT l_partkey, count(DISTINCT coalesce(CAST(s_nationkey AS VARCHAR), 'unknown')) AS n FROM {_SIDES} GROUP BY l_partkey")
@@ -94,7 +99,7 @@ def w10_inner_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT l_partkey, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM {_SIDES}")
 def w11_product_locations(spark: SparkSession, d: str) -> DataFrame:
-    users = read_table(spark, d, "supplier").where("s_nationkey < 20").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
+    users = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
     return joins.product_locations(read_table(spark, d, "lineitem"), users, "l_suppkey", "l_partkey", "s_nationkey").distinct()
 
 
@@ -127,8 +132,7 @@ def w13_relative_frequency_sql(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_frequency(_DOC_WORDS, 1))
 def w14_relative_frequency_clean(spark: SparkSession, d: str) -> DataFrame:
-    lines = read_table(spark, d, "documents").select(F.split("text", " ").alias("tokens"))
-    return sequences.relative_frequency(sequences.clean_tokens(lines, "tokens"), "tokens", 1).withColumn("rf", r6(F.col("rf")))
+    return sequences.relative_frequency(sequences.clean_words(read_table(spark, d, "documents"), "text"), "tokens", 1).withColumn("rf", r6(F.col("rf")))
 
 
 @query("""
@@ -140,11 +144,11 @@ def w15_moving_average(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS price FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1, 2)
+WITH p AS (SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS price FROM orders GROUP BY 1, 2)
 SELECT symbol, strftime(date, '%Y-%m-%d') AS date, round(avg(price) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS avg FROM p""")
 def w16_moving_average_lines(spark: SparkSession, d: str) -> DataFrame:
-    """From text lines; those of every seventh customer have a date that can't be read."""
-    date = F.when(F.col("o_custkey") % 7 == 0, F.lit("notadate")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    """From text lines."""
+    date = F.date_format("o_orderdate", "yyyy-MM-dd")
     lines = read_table(spark, d, "orders").select(F.concat_ws(",", F.col("o_custkey").cast("string"), date, F.col("o_totalprice").cast("string")).alias("value"))
     daily = sequences.parse_prices(lines).groupBy("symbol", "date").agg(F.max("price").alias("price"))
     out = sequences.moving_average(daily, "symbol", ["date"], "price", 3)
@@ -160,16 +164,13 @@ def _baskets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_BASKET}, i1 AS (SELECT i AS k, count(*) AS n FROM b GROUP BY 1),
-i2 AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM b x JOIN b y ON x.o = y.o AND x.i < y.i GROUP BY 1, 2),
-i3 AS (SELECT x.i AS a, y.i AS b, z.i AS c, count(*) AS n FROM b x JOIN b y ON x.o = y.o AND x.i < y.i JOIN b z ON x.o = z.o AND y.i < z.i GROUP BY 1, 2, 3)
-SELECT a AS antecedent, b AS consequent, round(i2.n / CAST(i1.n AS DOUBLE), 6) AS confidence FROM i2 JOIN i1 ON k = a
-UNION ALL SELECT b, a, round(i2.n / CAST(i1.n AS DOUBLE), 6) FROM i2 JOIN i1 ON k = b
-UNION ALL SELECT i3.a || ',' || i3.b, c, round(i3.n / CAST(i2.n AS DOUBLE), 6) FROM i3 JOIN i2 ON i2.a = i3.a AND i2.b = i3.b
-UNION ALL SELECT i3.a || ',' || i3.c, i3.b, round(i3.n / CAST(i2.n AS DOUBLE), 6) FROM i3 JOIN i2 ON i2.a = i3.a AND i2.b = i3.c
-UNION ALL SELECT i3.b || ',' || i3.c, i3.a, round(i3.n / CAST(i2.n AS DOUBLE), 6) FROM i3 JOIN i2 ON i2.a = i3.b AND i2.b = i3.c""")
+WITH {_BASKET}, l AS (SELECT list_sort(list(i)) AS x FROM b GROUP BY o), m AS (SELECT x, unnest(generate_series(1, (1 << len(x)) - 1)) AS m FROM l),
+s AS (SELECT list_filter(x, lambda e, i: (m >> (i - 1)) & 1 = 1) AS k, count(*) AS n FROM m GROUP BY 1),
+r AS (SELECT k, n, unnest(k) AS c FROM s WHERE len(k) > 1)
+SELECT array_to_string(s.k, ',') AS antecedent, c AS consequent, round(r.n / CAST(s.n AS DOUBLE), 6) AS confidence FROM r JOIN s ON s.k = list_filter(r.k, lambda e: e <> r.c)""")
 def w17_association_rules(spark: SparkSession, d: str) -> DataFrame:
-    out = baskets.association_rules(_baskets(spark, d), "items", 3)
+    """Rules from itemsets of all sizes."""
+    out = baskets.association_rules(_baskets(spark, d), "items")
     return out.select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", r6(F.col("confidence")).alias("confidence"))
 
 
@@ -201,6 +202,23 @@ def w19_common_friends(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p", "q", F.array_join(F.col("common").cast("array<string>"), ",").alias("common"))
 
 
+@query(f"""
+WITH v AS (SELECT DISTINCT event_type, {_SPAN} AS span, ts, user_id FROM events),
+l AS (SELECT DISTINCT x.user_id AS p, y.user_id AS f FROM v x JOIN v y ON x.event_type = y.event_type AND x.span = y.span AND x.user_id <> y.user_id AND x.ts <= y.ts),
+z AS (SELECT least(p, f) AS p, greatest(p, f) AS q, count(*) AS lists, min(p) AS owner FROM l GROUP BY 1, 2),
+c AS (SELECT z.p, z.q, x.f FROM z JOIN l x ON x.p = z.p JOIN l y ON y.p = z.q AND y.f = x.f WHERE lists = 2 UNION ALL SELECT z.p, z.q, x.f FROM z JOIN l x ON x.p = z.owner WHERE lists = 1)
+SELECT z.p, z.q, coalesce(string_agg(CAST(f AS VARCHAR), ',' ORDER BY f), '') AS common FROM z LEFT JOIN c ON c.p = z.p AND c.q = z.q GROUP BY 1, 2""")
+def w20_one_sided_friends(spark: SparkSession, d: str) -> DataFrame:
+    """A user lists those who have an event of the same type in the same ten minutes, at the same time or later."""
+    span = F.substring(F.date_format("ts", "yyyy-MM-dd HH:mm"), 1, 15)
+    own = read_table(spark, d, "events").select("event_type", span.alias("span"), "ts", "user_id").distinct()
+    x, y = own.alias("x"), own.alias("y")
+    same = (F.col("x.event_type") == F.col("y.event_type")) & (F.col("x.span") == F.col("y.span"))
+    listed = x.join(y, same & (F.col("x.user_id") != F.col("y.user_id")) & (F.col("x.ts") <= F.col("y.ts"))).select(F.col("x.user_id").alias("src"), F.col("y.user_id").alias("dst"))
+    out = graphs.common_friends(listed, one_sided="all")
+    return out.select("p", "q", F.array_join(F.col("common").cast("array<string>"), ",").alias("common"))
+
+
 @query(f"WITH {_GRAPH} SELECT x.a AS a, x.b AS b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
 def w21_triangles(spark: SparkSession, d: str) -> DataFrame:
     return graphs.triangles(_graph(spark, d))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
+def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     w = df.write.mode(mode)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
@@ -23,6 +23,17 @@ def write_key_values(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(line.alias("value")).write.mode(mode).text(path)
 
 
+def show(df: DataFrame, n: int = 20) -> None:
+    """The first n rows, as a table."""
+    df.show(n, truncate=False)
+
+
+def print_rows(df: DataFrame) -> None:
+    """All rows, one a line, a partition at a time."""
+    for row in df.toLocalIterator():
+        print("(" + ",".join(str(x) for x in row) + ")")
+
+
 def jdbc_options(url: str, table: str, user: str | None = None, password: str | None = None, driver: str | None = None, batch: int = 10_000) -> dict[str, str]:
     named = {"url": url, "dbtable": table, "user": user, "password": password, "driver": driver, "batchsize": str(batch)}
     return {k: v for k, v in named.items() if v is not None}
