@@ -4,6 +4,9 @@ Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation ove
 most 3 ** rules rows, whatever the input) estimates each rule's accuracy and the share of good documents; a document's
 verdict is the posterior probability that it is good. The fit runs as one SQL expression over the pattern table.
 
+It starts from the rules' majority, so that the classes can't trade places, and each rate has a Beta prior with a stated mean
+that weighs PRIOR_WEIGHT of the class's own votes: estimates follow the data at every size, and none becomes 0 or 1.
+
 Defined results: null text counts as empty (no words, base_failed); doc_id may be null or repeat, each row is judged by
 itself; an empty table gives an empty result; extra columns are ignored.
 """
@@ -21,11 +24,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-ROUNDS = 25
-#: Bounds that keep the two classes from trading places: of good documents a rule passes most, of bad ones it finds some.
-PASSES_GOOD = (0.9, 0.999)
-FINDS_BAD = (0.05, 0.98)
-PRIOR = (0.5, 0.98)
+ROUNDS = 100
+#: Means of the priors of what a rule passes of good documents and finds of bad ones, and their weight.
+PASSES_GOOD, FINDS_BAD, PRIOR_WEIGHT = 0.95, 0.5, 0.1
 THRESHOLD = 0.5
 
 
@@ -97,20 +98,24 @@ def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> list[float]
     n = len(names)
     patterns = voted.groupBy(*names).count()
     one = patterns.agg(F.sort_array(F.collect_list(F.struct(F.array(*[F.col(x) for x in names]).alias("v"), F.col("count").cast("double").alias("c")))).alias("p"))
-    within = lambda lo, hi, x: f"least({hi}D, greatest({lo}D, {x}))"
     odds = " + ".join(f"CASE x.v[{j}] WHEN 1 THEN w[{2 * j + 1}] WHEN -1 THEN w[{2 * j + 2}] ELSE 0D END" for j in range(n))
     expect = f"transform(p, x -> named_struct('v', x.v, 'g', x.c / (1D + exp(-(w[0] + {odds}))), 'c', x.c))"
     total = lambda value: f"aggregate(e, 0D, (s, x) -> s + {value})"
-    share = within(*PRIOR, f"({total('x.g')} + 1D) / ({total('x.c')} + 2D)")
+    share = f"({total('x.g')} + 1D) / ({total('x.c')} + 2D)"
+    # the one pseudo-vote stands for a rule that never votes in a class
+    rate = lambda hits, votes, mean: f"({hits} + {mean}D * (1D + {PRIOR_WEIGHT}D * {votes})) / (1D + {1 + PRIOR_WEIGHT}D * {votes})"
     rates = []
     for j in range(n):
-        good = f"({total(f'IF(x.v[{j}] = 1, x.g, 0D)')} + 9D) / ({total(f'IF(x.v[{j}] = 0, 0D, x.g)')} + 10D)"
-        bad = f"({total(f'IF(x.v[{j}] = -1, x.c - x.g, 0D)')} + 1D) / ({total(f'IF(x.v[{j}] = 0, 0D, x.c - x.g)')} + 2D)"
-        rates += [within(*PASSES_GOOD, good), within(*FINDS_BAD, bad)]
+        rates.append(rate(total(f"IF(x.v[{j}] = 1, x.g, 0D)"), total(f"IF(x.v[{j}] = 0, 0D, x.g)"), PASSES_GOOD))
+        rates.append(rate(total(f"IF(x.v[{j}] = -1, x.c - x.g, 0D)"), total(f"IF(x.v[{j}] = 0, 0D, x.c - x.g)"), FINDS_BAD))
     weights = ", ".join(f"ln(t[{2 * j + 1}] / (1D - t[{2 * j + 2}])), ln((1D - t[{2 * j + 1}]) / t[{2 * j + 2}])" for j in range(n))
     to_weights = lambda rates: f"transform(array(array({rates})), t -> array(ln(t[0] / (1D - t[0])), {weights}))[0]"
-    start = to_weights(", ".join(["0.8D", *["0.95D, 0.5D"] * n]))
     step = to_weights(", ".join([share, *rates]))
+    # at first each row is as good as the share of its votes for good
+    majority = " + ".join(f"x.v[{j}]" for j in range(n))
+    voting = " + ".join(f"abs(x.v[{j}])" for j in range(n))
+    start = f"transform(p, x -> named_struct('v', x.v, 'g', x.c * IF({voting} = 0, 0.5D, 0.5D + 0.5D * ({majority}) / ({voting})), 'c', x.c))"
+    start = f"transform(array({start}), e -> {step})[0]"
     fitted = one.selectExpr(f"aggregate(sequence(1, {rounds}), {start}, (w, k) -> transform(array({expect}), e -> {step})[0]) AS w")
     return list(fitted.first()["w"])
 
