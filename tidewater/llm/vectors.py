@@ -17,9 +17,10 @@ compared, so no result below AUDIT is returned.
 Bounds: the centroids are fitted on at most SAMPLE vectors and there are at most MAX_SHARDS; only these are collected and
 sent out, ASKED of them for the audit. All vectors are indexed.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose length differs from most,
-link with nothing; a null vec_id never becomes a component's id while another is there; rows with equal vec_id are told
-apart by a number given when they are written; an empty table gives an empty result; extra columns are ignored.
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of each
+length are compared with each other, one length after the other; a null vec_id never becomes a component's id while another is
+there, and is kept where its component has no id; rows with equal vec_id are told apart by a number given when they are written;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components, local_roots
-from ._store import cut
+from ._store import cut, free
 
 THRESHOLD = 0.9
 OVERLAP = 3
@@ -295,19 +296,8 @@ def graph(classes: DataFrame, centroids: np.ndarray, overlap: int) -> DataFrame:
     return cells.join(union, "cid")
 
 
-def links(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """key, n_links, component_id and kept of every row."""
-    spark = table.sparkSession
-    rows = cut(table.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    good = rows.where(usable(F.col("v")))
-    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = sizes["d"] if sizes else 0
-    digest = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
-    good = good.where(F.size("v") == d).select("id", "row", "v", *digest)
-    classes = cut(good.groupBy("h1", "h2").agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v")), "vector-classes")
-    n = classes.count()
-    if n == 0:
-        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+def searched(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """cid, links (rows in other classes) and root of n classes of one length."""
     sampled = classes.select("cid", "v").orderBy(F.xxhash64("cid")).limit(SAMPLE).collect()
     sample = unit([r["v"] for r in sampled])
     centroids = fit_centroids(sample, min(MAX_SHARDS, max(1, -(-n * OVERLAP // SHARD)), max(1, len(sample) // 2))).astype(np.float32)
@@ -330,14 +320,34 @@ def links(table: DataFrame, key: str = "vec_id", vector: str = "embedding", thre
             overlap, linked = 2 * overlap, None
             if overlap >= len(centroids):
                 centroids, overlap = centroids[:1], 1
+        free(found)
+    free(truth)
     roots = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     counted = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    classes = classes.join(counted, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    heads = classes.groupBy("root").agg(F.min("least").alias("component"))
-    classes = classes.join(heads, "root").select("h1", "h2", (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("links"), "component")
-    out = rows.join(good.select("row", "h1", "h2").join(classes, ["h1", "h2"]), "row", "left")
+    out = counted.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "links", F.coalesce("root", "cid").alias("root"))
+    out = cut(out, "linked-classes")
+    free(found, roots)
+    return out
+
+
+def links(table: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """key, n_links, component_id and kept of every row."""
+    rows = cut(table.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    digest = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
+    good = rows.where(usable(F.col("v"))).select("id", "row", "v", *digest)
+    classes = good.groupBy("h1", "h2").agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("d", F.size("v")), "vector-classes")
+    # a row for each length of which there are two classes
+    lengths = classes.groupBy("d").count().where("count > 1").orderBy("d").collect()
+    found = classes.select("cid", F.lit(0).cast("long").alias("links"), F.col("cid").alias("root")).where("false")
+    for r in lengths:
+        found = found.union(searched(classes.where(F.col("d") == r["d"]).drop("d"), r["count"], threshold))
+    named = classes.select("h1", "h2", "cid", "least", "copies").join(found, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    heads = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = named.join(heads, "root").select("h1", "h2", (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("links"), "component")
+    out = rows.join(good.select("row", "h1", "h2").join(named, ["h1", "h2"]), "row", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op10_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
