@@ -6,7 +6,7 @@ all parts are looked up at once by an Aho-Corasick automaton, and the regex libr
 bounded errors and reports the span. What stands unchanged as a whole needs no fuzzy search.
 
 Words are runs of ASCII letters, digits and all signs beyond ASCII, in lower case; notices are searched in the words joined by
-single spaces, and spans count words.
+single spaces, and spans count words. The score is 1 for a base label, else the best notice's share of letters without errors.
 
 Defined results: null text counts as empty (no words, score 0); each row is judged by itself, whether its doc_id is null,
 repeated or not; an empty table gives an empty result; extra columns are ignored.
@@ -127,8 +127,8 @@ class Scanner:
                     out.append((label, at, a, 0))
         return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
 
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, int]]]:
-        """Number of words, base places, and notices (label, first word, word after the last, errors)."""
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, int, int]]]:
+        """Number of words, base places, and notices (label, first word, word after the last, errors, letters)."""
         low = text.translate(LOWER)
         inside = IN_WORD[np.frombuffer(low, np.uint8)]
         n_words = int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
@@ -143,7 +143,7 @@ class Scanner:
         notices = self.fuzzy(joined)
         if notices:
             ends = list(accumulate((len(w.decode()) + 1 for w in words), initial=0))
-            notices = [(label, max(0, bisect_right(ends, a) - 1), bisect_left(ends, b), e) for label, a, b, e in notices]
+            notices = [(label, max(0, bisect_right(ends, a) - 1), bisect_left(ends, b), e, b - a) for label, a, b, e in notices]
         return n_words, base, notices
 
 
@@ -164,9 +164,9 @@ def scanned(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             n, base, notices = _scanner[0].scan(text)
             own = {label for _, label in base}
             found = own | {x[0] for x in notices}
-            best = max([1.0] * bool(base) + [1.0 - e / max(1, b - a + e) for _, a, b, e in notices], default=0.0)
+            best = max([1.0] * bool(base) + [1.0 - e / max(1, letters) for *_, e, letters in notices], default=0.0)
             starts = [i for i, _ in base]
-            row = (n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(found)), best, [dict(zip(("label", "start", "end", "errors"), x, strict=True)) for x in notices])
+            row = (n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(found)), best, [dict(zip(("label", "start", "end", "errors"), x[:4], strict=True)) for x in notices])
             for k, v in zip(names, row, strict=True):
                 out[k].append(v)
         return out
