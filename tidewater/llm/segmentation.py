@@ -9,12 +9,14 @@ The same row gives the same segmentation wherever it runs.
 A character that is not a piece, and the mark of a space where the text itself has that character, is spelled in byte
 pieces, so decoding gives back every text exactly.
 
-Defined results: null text counts as empty and has no pieces; a null key counts as 0; equal rows get equal segmentations; an
+Defined results: null text counts as empty and has no pieces; a null key counts as 0, and a key that isn't a whole number
+by a hash of its text; equal rows get equal segmentations; an
 empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from itertools import chain
 
@@ -111,11 +113,10 @@ class Lattice(dict):
         self.first, self.upto, self.source, self.piece = np.zeros(1, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def by_bytes(self, sign: int) -> int:
-        """The number that stands for a sign spelled in bytes."""
+        """The number that stands for a sign spelled in bytes; tables() is due after new ones."""
         if sign not in self.signs:
             self.signs[sign] = len(self.ids_of)
             self.ids_of.append([self.bytes[b] for b in (SPACE if sign == NO_SIGN else chr(sign)).encode()])
-            self.tables()
         return self.signs[sign]
 
     def learn(self, words: list[str]) -> None:
@@ -142,7 +143,10 @@ class Lattice(dict):
         odd = np.flatnonzero(~self.known[signs.astype(np.int64)])
         if len(odd):
             which, back = np.unique(signs[odd].astype(np.int64), return_inverse=True)
+            known = len(self.ids_of)
             number = np.array([self.by_bytes(c) for c in which.tolist()], np.int64)[back]
+            if len(self.ids_of) > known:
+                self.tables()
             edges.append((odd, odd + 1, number, self.alpha * self.lowest * (self.ids_first[number + 1] - self.ids_first[number])))
         a, b, piece, score = (np.concatenate(x) for x in zip(*edges, strict=True))
         base = np.repeat(start, lengths)  # node p ends with sign p; it belongs to the word that starts at base[p]
@@ -223,6 +227,13 @@ class Lattice(dict):
 _lattices: dict[tuple[str, float], Lattice] = {}
 
 
+def number_of(key) -> int:
+    """The whole number that a row key counts as."""
+    if key is None or isinstance(key, int):
+        return key or 0
+    return int.from_bytes(hashlib.blake2b(str(key).encode(), digest_size=8).digest(), "little")
+
+
 def segmented(docs: DataFrame, key: str = "doc_id", seed: int = SEED, alpha: float = ALPHA, model_file: str | None = None, with_ids: bool = True) -> DataFrame:
     """key, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), text_crc32 and lossless of the decoded text, and ids."""
     path = model_file or default_model()
@@ -233,7 +244,7 @@ def segmented(docs: DataFrame, key: str = "doc_id", seed: int = SEED, alpha: flo
         if (path, alpha) not in _lattices:
             _lattices[path, alpha] = Lattice(path, alpha)
         lattice = _lattices[path, alpha]
-        ids, ends = lattice.sample([t.decode() for t in cols["text"]], [k or 0 for k in cols[key]], seed)
+        ids, ends = lattice.sample([t.decode() for t in cols["text"]], [number_of(k) for k in cols[key]], seed)
         out: dict[str, list] = {k: [] for k in (key, "n_pieces", "ids_crc32", "text_crc32", "lossless", "ids")}
         a = 0
         for k, text, b in zip(cols[key], cols["text"], ends.tolist(), strict=True):
