@@ -10,8 +10,12 @@ work is bounded whatever the input. It ends with one group, or when groups are a
 than STALLED of what it opened: bins then stay as they are. Only row number and length go through the levels.
 
 Defined results: null text counts as empty and gives one piece, the closing id; rows are packed one by one, whether their
-doc_id is null, repeated or not; an empty table gives an empty result; extra columns are ignored. Words are encoded one by
-one (no token crosses white space) and kept in a bounded cache.
+doc_id is null, repeated or not; an empty table gives an empty result; extra columns are ignored. pack() takes any rows that
+have none of the columns _n, _g, _length, _full, sequence_id and offset.
+
+Words are encoded one by one and kept in a bounded cache where the vocabulary's tokens don't cross white space; runs of letters
+and of signs go to its model directly where that gives what its tokenizer gives. Both are tried on samples when it is loaded;
+for other vocabularies texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -47,6 +51,10 @@ def default_vocabulary() -> str:
 PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+#: What tells how a vocabulary encodes.
+SAMPLES = ("One two, über  Straße\nx --- (Wörd) it", "The END of été! ... a")
+
+
 def byte_signs() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself if visible, else the next from 256 on."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -63,6 +71,9 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.signs, self.runs = self.tokenizer.model, byte_signs(), {}
+        whole = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.by_word = all(whole(x) == [i for w in x.split() for i in whole(w)] for x in SAMPLES)
+        self.by_run = self.by_word and all(self.run(x) == whole(x) for t in SAMPLES for w in t.split() if (m := PLAIN.fullmatch(w)) for x in m.groups() if x)
         self.reset()
 
     def reset(self) -> None:
@@ -82,7 +93,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         text = word.decode()
-        if (m := PLAIN.fullmatch(text)) and "<|" not in text:
+        if self.by_run and (m := PLAIN.fullmatch(text)) and "<|" not in text:
             for x in m.groups():
                 if x:
                     self.ids.extend(self.run(x))
@@ -93,6 +104,9 @@ class WordIds(dict):
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts, and where each text ends."""
+        if not self.by_word:
+            ids = [self.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+            return np.array(list(chain.from_iterable(ids)), np.uint32), np.cumsum([len(x) for x in ids])
         if len(self) > CACHE:
             self.reset()
         words = [t.split() for t in texts]
