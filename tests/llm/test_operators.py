@@ -1,6 +1,7 @@
 """Every operator against brute force on a small table of awkward rows, and on an empty one."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -219,9 +220,23 @@ def test_segmentation(docs, rows):
     assert sum(r["ids_crc32"] for r in other) != sum(r["ids_crc32"] for r in out)
 
 
-def test_segmentation_is_distributed_as_the_lattice_says():
-    import math
+def test_segmentation_takes_any_key(spark):
+    df = spark.createDataFrame([("a", "the same words here"), ("b", "the same words here"), (None, "\u4e00\u4e01\u4e02 \U0001f600"), ("a", "the same words here")], "name string, text string")
+    out = [(r["name"], tuple(r["ids"])) for r in segmentation.segmented(df, key="name").collect() if r["lossless"]]
+    assert len(out) == 4 and len({x for x in out if x[0] == "a"}) == 1
+
+
+def test_a_vocabulary_whose_tokens_cross_words(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE(vocab={"Ġ": 0, "a": 1, "b": 2, "Ġa": 3}, merges=[("Ġ", "a")]))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(str(tmp_path / "t.json"))
+    ids, ends = packing.WordIds(str(tmp_path / "t.json")).encode([b"a a ba", b"b"])
+    assert ids.tolist() == t.encode("a a ba").ids + t.encode("b").ids and ends.tolist() == [5, 6] and 3 in ids
+
 
+def test_segmentation_is_distributed_as_the_lattice_says():
     lattice = segmentation.Lattice(segmentation.default_model())
 
     def ways(s):
@@ -266,6 +281,38 @@ def test_quality_finds_the_bad_class(spark):
     assert kept == {i for i, _ in good}
 
 
+def plain_em(votes):
+    """The weights that EM over rows of votes gives, row by row."""
+    c, n = quality.PRIOR_WEIGHT, len(votes[0])
+    g = [0.5 + 0.5 * sum(v) / sum(map(abs, v)) if any(v) else 0.5 for v in votes]
+    for _ in range(quality.ROUNDS + 1):
+        w = [math.log((sum(g) + 1) / (len(g) - sum(g) + 1))]
+        for j in range(n):
+            said = [(x, y) for x, y in zip(g, votes, strict=True) if y[j]]
+            good, bad = sum(x for x, _ in said), sum(1 - x for x, _ in said)
+            p = (sum(x for x, y in said if y[j] == 1) + quality.PASSES_GOOD * (1 + c * good)) / (1 + (1 + c) * good)
+            q = (sum(1 - x for x, y in said if y[j] == -1) + quality.FINDS_BAD * (1 + c * bad)) / (1 + (1 + c) * bad)
+            w += [math.log(p / (1 - q)), math.log((1 - p) / q)]
+        odds = [w[0] + sum({1: w[2 * j + 1], -1: w[2 * j + 2], 0: 0.0}[x] for j, x in enumerate(v)) for v in votes]
+        g = [1 / (1 + math.exp(-x)) for x in odds]
+    return w, g
+
+
+@pytest.mark.parametrize("share", [0.85, 0.3])
+def test_quality_fit_is_that_of_plain_em(spark, share):
+    """Also where most documents are bad."""
+    rng = np.random.default_rng(13)
+    good = rng.random(400) < share
+    hit = np.array([0.97, 0.9, 0.95, 0.8])
+    votes = np.where(rng.random((400, 4)) < np.where(good[:, None], hit, 0.8), np.where(good[:, None], 1, -1), np.where(good[:, None], -1, 1))
+    votes = np.where(rng.random((400, 4)) < 0.15, 0, votes).tolist()
+    names = ["a", "b", "c", "d"]
+    w = quality.fit(spark.createDataFrame([tuple(v) for v in votes], ", ".join(f"{x} int" for x in names)), names)
+    expected, g = plain_em([tuple(v) for v in votes])
+    assert np.allclose(w, expected, rtol=0, atol=1e-9)
+    assert np.mean((np.array(g) >= 0.5) == good) > 0.93
+
+
 def brute_repeats(rows):
     where = Counter()
     for _, t in rows:
@@ -493,6 +540,15 @@ def test_vectors(spark, monkeypatch, cell):
         assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"]
 
 
+def test_vectors_of_all_lengths_and_ids(spark):
+    """Minority lengths are compared too; equal and null ids; extra columns with names that the operator uses."""
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 0.0, 1.0]), (5, [1.0, 0.0]), (6, [1.0, 0.1]), (7, [1.0]), (None, [0.3, -0.9, 0.4]), (8, [0.0, 1.1]), (8, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in rows], "vec_id bigint, embedding array<double>, id string, row int, cid int")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.links(df).collect())
+    expected = [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (None, 0, None, True)]
+    assert got == Counter(expected) + Counter({(8, 1, 8, True): 2})
+
+
 @pytest.mark.parametrize("shared", [0.97, 0.0])
 def test_vectors_across_shards(spark, monkeypatch, shared):
     """Isolated pairs just above the threshold among many small shards; without SHARED the audit alone has to find what is missed."""
