@@ -185,24 +185,28 @@ def up_to(n: Column | str) -> Column:
     return F.explode(F.sequence(F.lit(0), (F.col(n) if isinstance(n, str) else n) - 1))
 
 
-def met_with_pivots(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Sides of the tiles in which each cid of pairs(cid, pivot) meets its pivot."""
+def met_with_pivots(pairs: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sides of the tiles in which each cid of pairs(cid, pivot) meets its pivot, and the table of each pivot's tiles that they
+    read: a table, as the rows of a hot pivot can't be split in a join with an aggregate."""
     n = pairs.join(sizes, "cid").groupBy("pivot").agg(F.count("*").alias("m"), F.sum("bytes").alias("b")).select("pivot", parts_of("m", "b").alias("nj"))
+    n = cut(n, "tiles-with-pivots")
     part = F.pmod(F.xxhash64("cid"), F.col("nj").cast("long")).cast("int").alias("j")
     others = pairs.join(n, "pivot").select("pivot", F.lit(0).alias("i"), part, F.lit(1).alias("side"), "cid", F.col("cid").alias("label"))
     own = n.select("pivot", F.lit(0).alias("i"), up_to("nj").alias("j"), F.lit(0).alias("side"), F.col("pivot").alias("cid"), F.col("pivot").alias("label"))
-    return own.union(others)
+    return own.union(others), n
 
 
-def met_with_all(marked: DataFrame) -> DataFrame:
-    """Sides of the tiles in which odd classes meet all of their clusters. marked: pivot, cid, label, odd, bytes."""
+def met_with_all(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sides of the tiles in which odd classes meet all of their clusters, and the table of each pivot's tiles that they read.
+    marked: pivot, cid, label, odd, bytes."""
     sum_if = lambda c: F.sum(F.when(F.col("odd"), c).otherwise(0).cast("long"))
     n = marked.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("bytes").alias("b"), sum_if(F.lit(1)).alias("om"), sum_if(F.col("bytes")).alias("ob")).where("om > 0")
     n = n.select("pivot", parts_of("m", "b").alias("nj"), parts_of("om", "ob").alias("ni"))
+    n = cut(n, "tiles-with-all")
     every = marked.join(n, "pivot")
     part = lambda c: F.pmod(F.xxhash64("cid"), F.col(c).cast("long")).cast("int")
     odd = every.where("odd").select("pivot", part("ni").alias("i"), up_to("nj").alias("j"), F.lit(0).alias("side"), "cid", "label")
-    return odd.union(every.select("pivot", up_to("ni").alias("i"), part("nj").alias("j"), F.lit(1).alias("side"), "cid", "label"))
+    return odd.union(every.select("pivot", up_to("ni").alias("i"), part("nj").alias("j"), F.lit(1).alias("side"), "cid", "label")), n
 
 
 def candidates(classes: DataFrame) -> DataFrame | None:
@@ -237,15 +241,17 @@ def class_roots(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame |
     both = pairs.join(sig, "cid").join(sig.select(F.col("cid").alias("pivot"), F.col("sig").alias("other")), "pivot")
     equal = F.aggregate(F.zip_with("sig", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     matched = cut(both.where(equal >= MATCHES).select("pivot", "cid"), "matched-pairs")
-    links = cut(compared(met_with_pivots(matched, sizes), texts, words), "links")
+    sides, tiles = met_with_pivots(matched, sizes)
+    links = cut(compared(sides, texts, words), "links")
+    free(matched, tiles)
     roots = components(links)
-    free(matched)
     named = lambda df, of, to: df.join(roots.select(F.col("node").alias(of), F.col("root").alias(to)), of, "left").withColumn(to, F.coalesce(to, of))
     every = pairs.union(pairs.select("pivot", F.col("pivot").alias("cid")).distinct())
     marked = named(named(every, "cid", "label"), "pivot", "own").withColumn("odd", F.col("label") != F.col("own"))
     marked = cut(marked.join(sizes, "cid").select("pivot", "cid", "label", "odd", "bytes"), "marked")
-    more = cut(compared(met_with_all(marked), texts, words), "more-links")
-    free(pairs, texts, marked)
+    sides, tiles = met_with_all(marked)
+    more = cut(compared(sides, texts, words), "more-links")
+    free(pairs, texts, marked, tiles)
     if more.isEmpty():
         free(links, more)
         return roots
