@@ -412,6 +412,16 @@ def test_sharding(docs, rows):
         assert sorted(s) == list(range(len(s)))
 
 
+def test_shards_are_near_equal(spark):
+    """By bytes, where texts differ in length by a thousand times; one shard more takes rows only into itself."""
+    rng = np.random.default_rng(17)
+    texts = [(i, "é" * int(n)) for i, n in enumerate(rng.geometric(1 / 200, 8000))] + [(i, "z" * 20_000) for i in range(8000, 8040)]
+    out = sharding.shard(spark.createDataFrame(texts, "doc_id bigint, text string"), n_shards=8).toPandas()
+    loads = out.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() - loads.min() <= 0.02 * loads.mean()
+    assert out.groupby("virtual_slot")["shard"].nunique().max() == 1 and set(out["law"]) == {"bytes"}
+
+
 def test_slot_map_edits(spark):
     stats = spark.range(64).select(F.col("id").alias("virtual_slot"), (F.col("id") * 7 % 50 + 1).alias("bytes"), F.lit(1).cast("long").alias("n_rows"))
     first = sharding.first_map(spark, 4, 64)
@@ -438,6 +448,40 @@ def test_chunks(docs, rows):
     assert sum(r["n_removed"] for r in out) == sum(len(p) * (c - 1) for p, c in pieces.items() if len(p) >= chunks.MIN)
 
 
+def slow_boundaries(b):
+    """Where chunks end, byte by byte."""
+    out, last, h = [], 0, 0
+    for i, c in enumerate(b):
+        h = (h << 1) + int(chunks.GEAR[c]) & 0xFFFFFFFF
+        n = i + 1 - last
+        if n == chunks.MAX or h < (1 << 32) // chunks.AVERAGE and n >= chunks.LEAST:
+            out.append(i + 1)
+            last = i + 1
+    return out + [len(b)] if last < len(b) else out
+
+
+def test_chunks_row_by_row(spark, rows):
+    """All columns against a byte-by-byte cut and a dictionary of chunks, in the order of distinct ids."""
+    some = sorted((i, t) for i, t in {i: t for i, t in rows if i is not None and len(t or "") < 20_000}.items())
+    seen, expected = set(), []
+    for i, t in some:
+        b, a, removed, repeated = (t or "").encode(), 0, [], 0
+        ends = slow_boundaries(b)
+        for e in ends:
+            if b[a:e] in seen:
+                repeated += 1
+                if removed and removed[-1][1] == a:
+                    removed[-1] = (removed[-1][0], e)
+                else:
+                    removed.append((a, e))
+            seen.add(b[a:e])
+            a = e
+        expected.append((i, len(b), len(ends), repeated, sum(y - x for x, y in removed), tuple(removed)))
+    out = chunks.repeats(spark.createDataFrame(some[::-1], "doc_id bigint, text string").repartition(4)).collect()
+    same([(r["doc_id"], r["n_bytes"], r["n_chunks"], r["n_repeats"], r["n_removed"], tuple(tuple(x) for x in r["removed"])) for r in out], expected)
+    assert sum(x[3] for x in expected) > 20
+
+
 def test_equal_texts_keep_one_whole(spark):
     """Short texts and last chunks are compared as well, so copies keep nothing."""
     rng = np.random.default_rng(4)
