@@ -118,6 +118,28 @@ def test_triangles(spark, edges, expected):
     assert tuples(graphs.triangles(frame(spark, edges, "src bigint, dst bigint"))) == expected
 
 
+def shuffled_rows(node) -> int:
+    """Rows that the exchanges of a plan wrote."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_rows(node.plan())
+    below = node.children()
+    own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+def dense(spark, mirrored: bool):
+    pairs = [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    return frame(spark, pairs + [(b, a) for a, b in pairs if mirrored], "src bigint, dst bigint")
+
+
+def test_common_friends_exchange_no_wedges(spark):
+    out = graphs.common_friends(dense(spark, True))
+    assert all(len(r["common"]) == 58 for r in out.collect()) and shuffled_rows(out._jdf.queryExecution().executedPlan()) < 1770
+
+
 def test_item_similarity(spark):
     r = frame(spark, [("u1", "A", 5), ("u1", "B", 3), ("u2", "A", 4), ("u2", "B", 2), ("u3", "A", 1), ("u3", "C", 1)], "user string, item string, rating int")
     got = {(x["item1"], x["item2"]): x for x in similarity.item_similarity(r).collect()}
