@@ -1,6 +1,8 @@
 """Small inputs with results worked out by hand."""
 
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,11 +137,34 @@ def dense(spark, mirrored: bool):
     return frame(spark, pairs + [(b, a) for a, b in pairs if mirrored], "src bigint, dst bigint")
 
 
+def test_triangles_exchange_no_wedges(spark):
+    out = graphs.triangles(dense(spark, False))
+    assert len(out.collect()) == 34220 and shuffled_rows(out._jdf.queryExecution().executedPlan()) < 1770
+
+
 def test_common_friends_exchange_no_wedges(spark):
     out = graphs.common_friends(dense(spark, True))
     assert all(len(r["common"]) == 58 for r in out.collect()) and shuffled_rows(out._jdf.queryExecution().executedPlan()) < 1770
 
 
+def test_graphs_of_many_tiles_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "BLOCK_MOST", 60)
+    monkeypatch.setattr(graphs, "DRAWERS", 3)
+    draw = random.Random(5)
+    rows = [(draw.randrange(40), draw.randrange(40)) for _ in range(500)] + [(3, None), (None, 4)]
+    df, of = frame(spark, rows, "src int, dst bigint"), {}
+    for a, b in rows:
+        if a is not None:
+            of.setdefault(a, set()).update({b} - {None})
+    pairs = {(min(a, b), max(a, b)) for a in of for b in of[a] if a != b}
+    both = lambda a, b: b in of.get(a, ()) and a in of.get(b, ())
+    for one_sided in ("none", "all"):
+        got = tuples(graphs.common_friends(df, one_sided=one_sided))
+        whole = lambda a, b: of[a if b in of.get(a, ()) else b] if one_sided == "all" else ()  # noqa: E731, B023
+        assert got == sorted((a, b, sorted(of[a] & of[b] if both(a, b) else whole(a, b))) for a, b in pairs)
+    assert tuples(graphs.triangles(df)) == [t for t in itertools.combinations(range(40), 3) if pairs.issuperset(itertools.combinations(t, 2))]
+
+
 def test_item_similarity(spark):
     r = frame(spark, [("u1", "A", 5), ("u1", "B", 3), ("u2", "A", 4), ("u2", "B", 2), ("u3", "A", 1), ("u3", "C", 1)], "user string, item string, rating int")
     got = {(x["item1"], x["item2"]): x for x in similarity.item_similarity(r).collect()}
