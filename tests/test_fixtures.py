@@ -147,6 +147,12 @@ def test_common_friends_exchange_no_wedges(spark):
     assert all(len(r["common"]) == 58 for r in out.collect()) and shuffled_rows(out._jdf.queryExecution().executedPlan()) < 1770
 
 
+def test_one_sided_friends_exchange_no_pairs(spark):
+    out = graphs.common_friends(dense(spark, False), one_sided="all", separator=" ")
+    assert all(r["common"] == " ".join(map(str, range(r["p"] + 1, 60))) for r in out.collect())
+    assert out.count() == 1770 and shuffled_rows(out._jdf.queryExecution().executedPlan()) < 1770
+
+
 def test_graphs_of_many_tiles_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(graphs, "BLOCK_MOST", 60)
     monkeypatch.setattr(graphs, "DRAWERS", 3)
