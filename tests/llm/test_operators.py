@@ -210,6 +210,24 @@ def test_words_are_encoded_as_texts_are():
         assert ends.tolist() == [len(ids)]
 
 
+def test_new_runs_are_merged_many_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 500)
+    t, w = Tokenizer.from_file(packing.default_vocabulary()), packing.WordIds(packing.default_vocabulary())
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice([*"aeinrstéüßÉAEst"], rng.integers(1, 30))) + "".join(rng.choice([*".,!<|&="], rng.integers(3)))
+    texts = [" ".join([str(rng.choice(["", "(", "--"])) + word() for _ in range(300)]) for _ in range(8)] + ["aaaa " + "ab" * 32 + " =" + "e" * 64]
+    w.model = None  # no run goes to the model by itself
+    for part in (texts[:3], texts[3:], texts):
+        ids, ends = w.encode([x.encode() for x in part])
+        assert ids.tolist() == [i for x in part for i in t.encode(x, add_special_tokens=False).ids]
+        assert np.diff(ends, prepend=0).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in part]
+    w.model = t.model
+    long = "=" * 300 + "é" * 5000 + " " + "x" * 65 + "<|y z"
+    assert w.encode([long.encode()])[0].tolist() == t.encode(long, add_special_tokens=False).ids
+
+
 def test_segmentation(docs, rows):
     out = segmentation.segmented(docs).collect()
     assert all(r["lossless"] for r in out)

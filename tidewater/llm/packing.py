@@ -14,16 +14,18 @@ doc_id is null, repeated or not; an empty table gives an empty result; extra col
 have none of the columns _n, _g, _length, _full, sequence_id and offset.
 
 Words are encoded one by one and kept in a bounded cache where the vocabulary's tokens don't cross white space; runs of letters
-and of signs go to its model directly where that gives what its tokenizer gives. Both are tried on samples when it is loaded;
-for other vocabularies texts are encoded whole.
+and of signs that are new are merged by its model's rules, many at once, where that gives what its tokenizer gives. Both are tried
+on samples when it is loaded; for other vocabularies texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -46,9 +48,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A run of letters that lower-casing and composing leave one by one as they are, between signs that make one token run.
-#: Apostrophes and digits split otherwise, so words that have them take the tokenizer's own way.
-PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+SIGNS, LETTERS = r"([!-&(-/:-@\[-`{-~]*)", r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)"
+
+#: A word to a line: a run of letters that lower-casing and composing leave one by one as they are, between signs that make
+#: one token run, or else the whole word. Apostrophes, digits and <| split otherwise, so words that have them take the
+#: tokenizer's own way.
+LINES = re.compile(f"^(?:{SIGNS}{LETTERS}{SIGNS}|(.+))$", re.MULTILINE)
 
 
 #: What tells how a vocabulary encodes.
@@ -62,45 +67,142 @@ def byte_signs() -> list[str]:
     return [chr(b if b in visible else 256 + hidden.index(b)) for b in range(256)]
 
 
-class WordIds(dict):
-    """Word (bytes) to its number; the ids of word n are flat[first[n]:first[n + 1]]."""
+class Merges:
+    """A byte-level BPE model without options, for many runs at once: in each round the first of the likeliest pairs of every
+    run is merged, which is the order of the model."""
+
+    NEVER = np.iinfo(np.int64).max
+
+    def __init__(self, model: dict):
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        self.n, signs = max(vocab.values()) + 1, byte_signs()
+        self.open, self.last = (np.array([vocab[x + end] for x in signs], np.int64) for end in ("", suffix))
+        rank = {vocab[a] * (self.n + 1) + vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        self.pairs = np.array(sorted(rank), np.int64)
+        self.rank = np.array([rank[x] for x in self.pairs.tolist()], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+
+    @staticmethod
+    def fits(model: dict) -> bool:
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        return plain and bool(model["merges"]) and all(x + end in model["vocab"] for x in byte_signs() for end in ("", model.get("end_of_word_suffix") or ""))
+
+    def ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of runs, none of them empty or with a line break, and their number in each."""
+        raw = np.frombuffer("\n".join([*runs, ""]).encode(), np.uint8)
+        breaks = np.flatnonzero(raw == 10)
+        ends = breaks - np.arange(len(breaks))
+        n = int(ends[-1])
+        raw = raw[raw != 10]
+        ids = np.append(self.open[raw], self.n)  # the one behind all is in no pair
+        ids[ends - 1] = self.last[raw[ends - 1]]
+        starts = np.concatenate([[0], ends[:-1]])
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1], before[starts] = n, -1
+        gone = np.zeros(n, bool)
+
+        def rated(at: np.ndarray) -> np.ndarray:
+            """Rank and place of the pairs that begin there."""
+            pair = ids[at] * (self.n + 1) + ids[after[at]]
+            k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            return np.where(self.pairs[k] == pair, (self.rank[k] << 32) + at, self.NEVER)
+
+        best, going = rated(np.arange(n)), starts
+        while True:
+            first = np.minimum.reduceat(best, going)
+            going, first = going[first < self.NEVER], first[first < self.NEVER]
+            if not len(first):
+                return ids[:n][~gone], np.add.reduceat(~gone, starts, dtype=np.int64)
+            at = first & 0xFFFFFFFF
+            second = after[at]
+            ids[at], gone[second], best[second] = self.made[first >> 32], True, self.NEVER
+            after[at] = after[second]
+            before[after[at]] = at
+            back = before[at]
+            touched = np.concatenate([at, back[back >= 0]])
+            best[touched] = rated(touched)
+
+
+class WordIds(defaultdict):
+    """Word (bytes) to its number; the ids of word n are flat[first[n]:first[n + 1]]. Runs of letters and of signs are numbered
+    likewise; words that aren't made of such runs stand among them as tuples."""
+
+    #: Longer runs than this go to the tokenizer's model one by one.
+    LONG = 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.signs, self.runs = self.tokenizer.model, byte_signs(), {}
+        self.model, self.signs = self.tokenizer.model, byte_signs()
         whole = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.by_word = all(whole(x) == [i for w in x.split() for i in whole(w)] for x in SAMPLES)
-        self.by_run = self.by_word and all(self.run(x) == whole(x) for t in SAMPLES for w in t.split() if (m := PLAIN.fullmatch(w)) for x in m.groups() if x)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.by_run = self.by_word and Merges.fits(model)
+        if self.by_run:
+            self.merges = Merges(model)
+            runs = [x for t in SAMPLES for w in t.split() for x in LINES.findall(w)[0][:3] if x]
+            self.by_run = all(self.merges.ids([x.lower()])[0].tolist() == self.alone(x.lower()) == whole(x) for x in runs)
         self.reset()
+        self.reset_runs()
 
     def reset(self) -> None:
         self.clear()
-        self.ids, self.ends = [], []
+        self.default_factory = count().__next__
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def reset_runs(self) -> None:
+        """Run 0 is the empty one."""
+        self.runs = defaultdict(count(1).__next__, {"": 0})
+        self.run_flat, self.run_first = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def alone(self, run: str) -> list[int]:
+        """Ids of a run from the model itself."""
+        return [t.id for t in self.model.tokenize("".join([self.signs[b] for b in run.encode()]))]
+
+    def learn_runs(self, runs: list) -> None:
+        """Ids of the newest runs: many at once, long ones and whole words each by itself."""
+        many = np.array([type(x) is str and len(x) <= self.LONG for x in runs], bool)
+        lengths = np.zeros(len(runs), np.int64)
+        rest = [self.alone(x) if type(x) is str else self.tokenizer.encode(x[0], add_special_tokens=False).ids for x, m in zip(runs, many.tolist(), strict=True) if not m]
+        lengths[~many] = [len(x) for x in rest]
+        flat = np.fromiter(chain.from_iterable(rest), np.int64)
+        if many.any():
+            ids, lengths[many] = self.merges.ids([x for x, m in zip(runs, many.tolist(), strict=True) if m])
+            of_many = np.repeat(many, lengths)
+            both = np.zeros(len(of_many), np.int64)
+            both[of_many], both[~of_many] = ids, flat
+            flat = both
+        self.run_flat = np.concatenate([self.run_flat, flat.astype(np.uint32)])
+        self.run_first = np.concatenate([self.run_first, self.run_first[-1] + np.cumsum(lengths)])
+
+    def learn(self, words: list[bytes]) -> None:
+        """Ids of the newest words."""
         if len(self.runs) > 2 * CACHE:
-            self.runs.clear()
-
-    def run(self, x: str) -> list[int]:
-        """Ids of a run of letters or of signs."""
-        if x not in self.runs:
-            low = x.lower()
-            self.runs[x] = [t.id for t in self.model.tokenize(low if low.isascii() else "".join([self.signs[b] for b in low.encode()]))]
-        return self.runs[x]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        text = word.decode()
-        if self.by_run and (m := PLAIN.fullmatch(text)) and "<|" not in text:
-            for x in m.groups():
-                if x:
-                    self.ids.extend(self.run(x))
+            self.reset_runs()
+        known, n = len(self.runs), len(words)
+        if self.by_run:
+            text = b"\n".join(words).decode()
+            lines = LINES.findall(text)
+            if "<|" in text:
+                lines = [("", "", "", w) if "<|" in w else x for x, w in zip(lines, text.split("\n"), strict=True)]
+            before, letters, behind, odd = zip(*lines, strict=True)
+            low = "\n".join(letters).lower().split("\n")
+            run = np.fromiter(map(self.runs.__getitem__, chain(before, low, behind)), np.int64, 3 * n).reshape(3, n)
+            for i in [i for i, x in enumerate(odd) if x]:
+                run[1, i] = self.runs[(odd[i],)]
         else:
-            self.ids.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        self.ends.append(len(self.flat) + len(self.ids))
-        return n
+            run = np.fromiter((self.runs[(w.decode(),)] for w in words), np.int64, n).reshape(1, n)
+        if len(self.runs) > known:
+            self.learn_runs(list(islice(reversed(self.runs), len(self.runs) - known))[::-1])
+        starts = self.run_first[run]
+        lengths = self.run_first[run + 1] - starts
+        self.flat = np.concatenate([self.flat, self.run_flat[ragged(starts.T.ravel(), lengths.T.ravel())]])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths.sum(0))])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts, and where each text ends."""
@@ -109,12 +211,12 @@ class WordIds(dict):
             return np.array(list(chain.from_iterable(ids)), np.uint32), np.cumsum([len(x) for x in ids])
         if len(self) > CACHE:
             self.reset()
+        known = len(self)
         words = [t.split() for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        if self.ends:
-            self.flat, self.first = np.concatenate([self.flat, np.array(self.ids, np.uint32)]), np.concatenate([self.first, np.array(self.ends, np.int64)])
-            self.ids, self.ends = [], []
+        if len(self) > known:
+            self.learn(list(islice(reversed(self), len(self) - known))[::-1])
         starts = self.first[at]
         lengths = self.first[at + 1] - starts
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
