@@ -254,6 +254,28 @@ def test_a_vocabulary_whose_tokens_cross_words(spark, tmp_path):
     assert ids.tolist() == t.encode("a a ba").ids + t.encode("b").ids and ends.tolist() == [5, 6] and 3 in ids
 
 
+def test_a_words_lattice_takes_little_work_and_does_not_depend_on_others(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = sorted({"".join(rng.choice([*"aeinrstéßE."], rng.integers(1, 25))) for _ in range(3000)})
+    hashed = Counter()
+    mixed = segmentation.mixed
+    alone, among = (segmentation.Lattice(segmentation.default_model()) for _ in range(2))
+    alone.sample(["interesting"], [1], 1)
+    with monkeypatch.context() as m:
+        m.setattr(segmentation, "mixed", lambda x: hashed.update(n=np.size(x)) or mixed(x))
+        among.sample([" ".join(words)], [1], 1)
+        drawn = hashed["n"]
+        among.sample([" ".join(words)], [1], 1)  # without new words
+    assert drawn - (hashed["n"] - drawn) < 4 * sum(len(w) + 1 for w in words)  # not a hash for every length at every sign
+    among.sample(["x " * 50 + "interesting"], [1], 1)
+    n = 12
+    a, b = alone.first[:n], among.first[among.last[among["interesting"]] - n + 1 :][:n]
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        k = int(np.flatnonzero(alone.upto[x:] == 2)[0]) + 1
+        assert alone.upto[x : x + k].tolist() == among.upto[y : y + k].tolist()
+        assert alone.piece[x : x + k].tolist() == among.piece[y : y + k].tolist()
+
+
 def test_segmentation_is_distributed_as_the_lattice_says():
     lattice = segmentation.Lattice(segmentation.default_model())
 

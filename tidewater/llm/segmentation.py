@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -50,14 +51,20 @@ MARK, NO_SIGN = ord(SPACE), 0x10FFFF
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
-class Lattice(dict):
-    """Word (text without its leading space mark) to the number of its last node. Node n has the edges first[n] to first[n + 1]
-    that end there: likeliest first, with the sum of probabilities up to it, the piece and the node where it starts (-1 at
-    the word's start). Pieces from n_pieces on are characters spelled in bytes."""
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    """a with room for n values, at least twice its own if it grows."""
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+
+
+class Lattice(defaultdict):
+    """Word (text without its leading space mark) to its number; last[number] is its last node. Node n has the edges from
+    first[n] on that end there: likeliest first, with the sum of probabilities up to it (2 for the last one), the piece and the
+    node where it starts (-1 at the word's start). Pieces from n_pieces on are characters spelled in bytes."""
 
     def __init__(self, model_file: str, alpha: float = ALPHA):
         import sentencepiece
 
+        super().__init__()
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.alpha, self.bytes = alpha, [0] * 256
         self.spelled: list[bytes] = []
@@ -79,13 +86,18 @@ class Lattice(dict):
         self.lowest = min(x for _, x in pieces.values()) - 10.0
         self.longest = max(map(len, pieces))
         self.power = np.cumprod(np.concatenate([[1], np.full(self.longest, BASE, np.uint64)]).astype(np.uint64))
-        by_hash = sorted((int(self.hashes(np.array([ord(c) for c in p], np.uint64), np.zeros(1, np.int64), len(p))[0]), i, x) for p, (i, x) in pieces.items())
+        hashed = self.hashed(pieces)
+        by_hash = sorted((hashed[p], i, x) for p, (i, x) in pieces.items())
         if len({h for h, _, _ in by_hash}) < len(by_hash):
             raise ValueError("pieces share a hash")
         self.table = np.array([h for h, _, _ in by_hash], np.uint64)
         self.table_id, self.table_score = np.array([i for _, i, _ in by_hash], np.int64), np.array([x for *_, x in by_hash])
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.table >> np.uint64(44)] = True
+        top = (self.table >> np.uint64(44)).astype(np.int64)
+        self.slot = np.full(1 << 20, -1, np.int64)  # the first of the table with these top bits
+        self.slot[top[::-1]] = np.arange(len(top))[::-1]
+        self.widest = int(np.bincount(top).max())
+        self.goes_on = np.zeros(1 << 20, bool)  # whether what has these top bits may be the start of a longer piece
+        self.goes_on[np.array(list(self.hashed({p[:k] for p in pieces for k in range(1, len(p))}).values()), np.uint64) >> np.uint64(44)] = True
         single = {p for p in pieces if len(p) == 1}
         self.known = np.zeros(NO_SIGN + 1, bool)
         self.known[[ord(c) for c in single]] = True
@@ -95,6 +107,7 @@ class Lattice(dict):
         self.spelled_at = np.concatenate([[0], np.cumsum([len(x) for x in self.spelled])]).astype(np.int64)
         self.spelled = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.tables()
+        self.first, self.upto, self.source, self.piece = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.reset()
 
     def hashes(self, signs: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -104,13 +117,23 @@ class Lattice(dict):
             h = h * np.uint64(BASE) + signs[at + k]
         return mixed(h + np.uint64(n))
 
+    def hashed(self, strings) -> dict[str, int]:
+        """The hash of each of strings."""
+        out: dict[str, int] = {}
+        for n in {len(x) for x in strings}:
+            group = [x for x in strings if len(x) == n]
+            signs = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            out.update(zip(group, self.hashes(signs, np.arange(len(group)) * n, n).tolist(), strict=True))
+        return out
+
     def tables(self) -> None:
         self.ids_first = np.concatenate([[0], np.cumsum([len(x) for x in self.ids_of])]).astype(np.int64)
         self.ids = np.array([i for x in self.ids_of for i in x], np.int32)
 
     def reset(self) -> None:
         self.clear()
-        self.first, self.upto, self.source, self.piece = np.zeros(1, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.default_factory = count().__next__
+        self.last, self.nodes, self.edges = np.zeros(0, np.int64), 0, 0
 
     def by_bytes(self, sign: int) -> int:
         """The number that stands for a sign spelled in bytes; tables() is due after new ones."""
@@ -120,7 +143,7 @@ class Lattice(dict):
         return self.signs[sign]
 
     def learn(self, words: list[str]) -> None:
-        """Filter the lattices of words forward, all at once."""
+        """Filter the lattices of the newest words forward, all at once."""
         lengths = np.array([len(w) + 1 for w in words], np.int64)
         end = np.cumsum(lengths)
         start = end - lengths
@@ -130,16 +153,21 @@ class Lattice(dict):
         edges: list[tuple] = []
         h, at = np.zeros(n, np.uint64), np.arange(n)
         for k in range(1, self.longest + 1):
-            keep = left[at] >= k
-            at, h = at[keep], h[keep]
-            if not len(at):
-                break
             h = h * np.uint64(BASE) + signs[at + k - 1]
             own = mixed(h + np.uint64(k))
-            maybe = np.flatnonzero(self.seen[own >> np.uint64(44)])
-            where = np.minimum(np.searchsorted(self.table, own[maybe]), len(self.table) - 1)
-            hit = self.table[where] == own[maybe]
-            edges.append((at[maybe[hit]], at[maybe[hit]] + k, self.table_id[where[hit]], self.alpha * self.table_score[where[hit]]))
+            top = (own >> np.uint64(44)).astype(np.int64)
+            where = self.slot[top]
+            maybe = np.flatnonzero(where >= 0)
+            where, sought = where[maybe], own[maybe]
+            for _ in range(1, self.widest):
+                where += (self.table[where] < sought) & (where + 1 < len(self.table))
+            hit = self.table[where] == sought
+            where, begins = where[hit], at[maybe[hit]]
+            edges.append((begins, begins + k, self.table_id[where], self.alpha * self.table_score[where], np.full(len(begins), k)))
+            on = np.flatnonzero(self.goes_on[top] & (left[at] > k))
+            at, h = at[on], h[on]
+            if not len(at):
+                break
         odd = np.flatnonzero(~self.known[signs.astype(np.int64)])
         if len(odd):
             which, back = np.unique(signs[odd].astype(np.int64), return_inverse=True)
@@ -147,45 +175,53 @@ class Lattice(dict):
             number = np.array([self.by_bytes(c) for c in which.tolist()], np.int64)[back]
             if len(self.ids_of) > known:
                 self.tables()
-            edges.append((odd, odd + 1, number, self.alpha * self.lowest * (self.ids_first[number + 1] - self.ids_first[number])))
-        a, b, piece, score = (np.concatenate(x) for x in zip(*edges, strict=True))
+            edges.append((odd, odd + 1, number, self.alpha * self.lowest * (self.ids_first[number + 1] - self.ids_first[number]), np.full(len(odd), self.longest + 1)))
+        a, b, piece, score, rank = (np.concatenate(x) for x in zip(*edges, strict=True))
         base = np.repeat(start, lengths)  # node p ends with sign p; it belongs to the word that starts at base[p]
         node = b - 1
         step = node - base[node]
-        order = np.lexsort((node, step))
+        order = np.argsort((step * n + node) * (self.longest + 2) + rank)
         a, node, piece, score, step = a[order], node[order], piece[order], score[order], step[order]
         opens = a == base[node]
-        forward, log_p = np.zeros(n), np.zeros(len(a))
-        cuts = np.flatnonzero(np.diff(step)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)], strict=True):
-            value = score[lo:hi] + np.where(opens[lo:hi], 0.0, forward[np.maximum(a[lo:hi] - 1, 0)])
-            here = node[lo:hi]
-            firsts = np.concatenate([[0], np.flatnonzero(np.diff(here)) + 1])
-            forward[here[firsts]] = np.logaddexp.reduceat(value, firsts)
-            log_p[lo:hi] = value - forward[here]
-        order = np.lexsort((-log_p, node))
-        a, node, piece, opens, p = a[order], node[order], piece[order], opens[order], np.exp(log_p[order])
-        counts = np.bincount(node, minlength=n)
-        first = np.concatenate([[0], np.cumsum(counts)])
-        upto = np.cumsum(p)
-        upto -= np.repeat(np.concatenate([[0.0], upto])[first[:-1]], counts)
-        upto[first[1:] - 1] = 2.0
-        nodes = len(self.first) - 1
-        self.source = np.concatenate([self.source, np.where(opens, -1, nodes + a - 1)])
-        self.first = np.concatenate([self.first, len(self.upto) + first[1:]])
-        self.upto, self.piece = np.concatenate([self.upto, upto]), np.concatenate([self.piece, piece])
-        self.update(zip(words, (nodes + end - 1).tolist(), strict=True))
+        source = np.where(opens, n, a - 1)
+        group = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1])  # of edges that end at the same node
+        size = np.diff(group, append=len(node))
+        here = node[group]
+        forward = np.zeros(n + 1)  # the one behind all stands for the start of any word
+        cuts = np.flatnonzero(np.diff(step[group], prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            x, y = group[lo], group[hi] if hi < len(group) else len(node)
+            forward[here[lo:hi]] = np.logaddexp.reduceat(score[x:y] + forward[source[x:y]], group[lo:hi] - x)
+        log_p = score + forward[source] - forward[node]
+        upto, order = np.full(len(node), 2.0), np.arange(len(node))
+        for c in np.flatnonzero(np.bincount(size)).tolist():
+            if c > 1:
+                edge = group[size == c][:, None] + np.arange(c)
+                of = np.argsort(-log_p[edge], axis=1, kind="stable")
+                order[edge] = np.take_along_axis(edge, of, 1)
+                upto[edge[:, :-1]] = np.cumsum(np.exp(log_p[order[edge[:, :-1]]]), axis=1)
+        nodes, used = self.nodes, self.edges
+        self.nodes, self.edges = nodes + n, used + len(node)
+        self.first = grown(self.first, self.nodes)
+        self.upto, self.source, self.piece = grown(self.upto, self.edges), grown(self.source, self.edges), grown(self.piece, self.edges)
+        self.first[nodes + here] = used + group
+        self.upto[used : self.edges] = upto
+        self.source[used : self.edges] = np.where(opens, -1, nodes + a - 1)[order]
+        self.piece[used : self.edges] = piece[order]
+        self.last = np.concatenate([self.last, nodes + end - 1])
 
     def sample(self, texts: list[str], keys: list[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a sampled segmentation of each text, and where each text's ids end."""
         if len(self) > CACHE:
             self.reset()
+        known = len(self)
         words = [t.split(" ") if t else [] for t in texts]
-        if new := [w for w in set(chain.from_iterable(words)) if w not in self]:
-            self.learn(sorted(new))
         counts = np.array([len(w) for w in words], np.int64)
         total = int(counts.sum())
-        node = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, total)
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, total)
+        if len(self) > known:
+            self.learn(list(islice(reversed(self), len(self) - known))[::-1])
+        node = self.last[number]
         first, upto, source = self.first, self.upto, self.source
         row = np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64)
         start = mixed(mixed(row + np.uint64(seed)) + np.uint64(0x9E3779B97F4A7C15))
@@ -202,7 +238,7 @@ class Lattice(dict):
                 unsure = unsure[u[unsure] >= upto[edge[unsure]]]
             steps.append((active, edge))
             node[active] = source[edge]
-            active = active[source[edge] >= 0]
+            active = active[node[active] >= 0]
         # edges were drawn from the end of each word: put them in reading order
         n_steps = np.zeros(total, np.int64)
         for a, _ in steps:
