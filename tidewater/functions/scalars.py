@@ -76,12 +76,16 @@ def all_subsets(items: Column, most: int) -> Column:
     return F.concat(*[subsets(items, k) for k in range(most + 1)])
 
 
+#: Items of an array whose subsets stand in one row: 2^16 of them.
+ROW_ITEMS = 16
+
+
 def every_subset(items: Column) -> Column:
-    """All subsets but the empty one of an array of distinct items, each in the array's order: one for each number whose bits pick
-    the items. Arrays have at most 30 items; larger ones raise an error."""
-    fits = F.when(F.size(items) <= 30, items).otherwise(F.raise_error(F.lit("more than 30 items: use fp_growth_rules")).cast("array<string>"))
-    numbers = F.when(F.size(fits) > 0, F.sequence(F.lit(1), F.expr("1") * F.pow(F.lit(2), F.size(fits)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda m: F.filter(items, lambda x, i: F.pmod(F.floor(m / F.pow(F.lit(2), i)), F.lit(2)) == 1))
+    """All subsets but the empty one of an array of distinct items, each in the array's order: an item is added to all subsets of
+    the items before it. All of them stand in one row, so arrays of more than ROW_ITEMS items raise an error."""
+    fits = F.when(F.size(items) <= ROW_ITEMS, items).otherwise(F.raise_error(F.lit(f"more than {ROW_ITEMS} items in one row")))
+    grown = F.aggregate(fits, F.array(F.slice(items, 1, 0)), lambda have, x: F.concat(have, F.transform(have, lambda s: F.concat(s, F.array(x)))))
+    return F.slice(grown, F.lit(2), F.size(grown))
 
 
 def sorted_combinations(items: list, size: int | None = None) -> list[list]:

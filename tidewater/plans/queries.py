@@ -163,17 +163,31 @@ def _baskets(spark: SparkSession, d: str) -> DataFrame:
     return baskets.baskets(read_table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey"), "l_orderkey", "p_brand")
 
 
-@query(f"""
-WITH {_BASKET}, l AS (SELECT list_sort(list(i)) AS x FROM b GROUP BY o), m AS (SELECT x, unnest(generate_series(1, (1 << len(x)) - 1)) AS m FROM l),
-s AS (SELECT list_filter(x, lambda e, i: (m >> (i - 1)) & 1 = 1) AS k, count(*) AS n FROM m GROUP BY 1),
-r AS (SELECT k, n, unnest(k) AS c FROM s WHERE len(k) > 1)
-SELECT array_to_string(s.k, ',') AS antecedent, c AS consequent, round(r.n / CAST(s.n AS DOUBLE), 6) AS confidence FROM r JOIN s ON s.k = list_filter(r.k, lambda e: e <> r.c)""")
+def _rules(least: int = 1) -> str:
+    return f"""
+WITH RECURSIVE {_BASKET}, l AS (SELECT o, string_agg(i, ',' ORDER BY i) AS x FROM b GROUP BY o), w AS (SELECT x, min(o) AS o, count(*) AS n FROM l GROUP BY x),
+m AS (SELECT w.o, w.n, b.i FROM w JOIN b ON b.o = w.o),
+t(o, n, i, size, s) AS (SELECT o, n, i, 1, i FROM m UNION ALL SELECT t.o, t.n, m.i, t.size + 1, t.s || ',' || m.i FROM t JOIN m ON m.o = t.o AND m.i > t.i),
+s AS (SELECT s, size, sum(n) AS n FROM t GROUP BY s, size HAVING sum(n) >= {least}),
+r AS (SELECT s, n, unnest(string_split(s, ',')) AS c FROM s WHERE size > 1),
+a AS (SELECT trim(replace(',' || s || ',', ',' || c || ',', ','), ',') AS a, c, n FROM r)
+SELECT a AS antecedent, c AS consequent, round(a.n / CAST(s.n AS DOUBLE), 6) AS confidence FROM a JOIN s ON s.s = a"""
+
+
+@query(_rules())
 def w17_association_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules from itemsets of all sizes."""
     out = baskets.association_rules(_baskets(spark, d), "items")
     return out.select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", r6(F.col("confidence")).alias("confidence"))
 
 
+@query(_rules(3))
+def w17_frequent_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules from itemsets of all sizes that at least three baskets hold, grown level by level."""
+    out = baskets.association_rules(_baskets(spark, d), "items", min_support=3)
+    return out.select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", r6(F.col("confidence")).alias("confidence"))
+
+
 @query(f"WITH {_BASKET} SELECT '[' || x.i || ', ' || y.i || ']' AS itemset, count(*) AS support FROM b x JOIN b y ON x.o = y.o AND x.i < y.i GROUP BY 1")
 def w18_pair_support(spark: SparkSession, d: str) -> DataFrame:
     return baskets.supports(_baskets(spark, d), "items", 2).select(list_text(F.col("itemset")).alias("itemset"), "support")
