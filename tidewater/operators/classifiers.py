@@ -6,31 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import euclidean
-
-#: Queries that are sent to all tasks at once: with their vectors a few MB.
-QUERY_BLOCK = 4096
-
-
-def nearest(queries: DataFrame, labelled: DataFrame, k: int, q_id: str, s_id: str, vector: str, label: str) -> DataFrame:
-    """The k nearest labelled rows of each query: by distance, then by s_id. Queries go out in blocks of bounded size; each task
-    keeps its own k nearest before rows are exchanged."""
-    n = queries.count()
-    q = queries.select(F.col(q_id).alias("q"), F.col(vector).alias("qv"))
-    s = labelled.select(F.col(s_id).alias("s"), F.col(label).alias("label"), F.col(vector).alias("sv"))
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    best = Window.partitionBy("q").orderBy(F.col("distance").asc_nulls_last(), "s")
-    out = None
-    for b in range(blocks):
-        own = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else q
-        pairs = s.crossJoin(F.broadcast(own)).select("q", "s", "label", euclidean(F.col("qv"), F.col("sv")).alias("distance"))
-        top = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-        out = top if out is None else out.union(top)
-    return out
+from tidewater.operators.neighbours import k_nearest
 
 
 def knn_classify(queries: DataFrame, labelled: DataFrame, k: int, q_id: str = "id", s_id: str = "id", vector: str = "vector", label: str = "label") -> DataFrame:
-    """q and the most frequent label of its k nearest; of equally frequent ones the smallest."""
-    votes = nearest(queries, labelled, k, q_id, s_id, vector, label).groupBy("q", "label").agg(F.count("*").alias("votes"))
+    """q and the most frequent label of its k nearest, of equally frequent ones the smallest, for each query that has a neighbour."""
+    votes = k_nearest(queries, labelled, k, q_id, s_id, vector, label).groupBy("q", "label").agg(F.count("*").alias("votes"))
     first = Window.partitionBy("q").orderBy(F.desc("votes"), "label")
     return votes.withColumn("place", F.row_number().over(first)).where("place = 1").select("q", "label")
 
