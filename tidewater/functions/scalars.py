@@ -88,6 +88,53 @@ def every_subset(items: Column) -> Column:
     return F.slice(grown, F.lit(2), F.size(grown))
 
 
+#: Combinations that stand in one row while their numbers are dealt out.
+RANKS = 4096
+
+
+def combination_count(n: Column, size: int) -> Column:
+    """How many sets of `size` of n items there are, as long as that and its product with n fit 64 bits."""
+    n = n.cast("bigint")
+    steps = F.sequence(F.lit(0), F.lit(size - 1)) if size else F.array().cast("array<int>")
+    return F.when(n < size, F.lit(0).cast("bigint")).otherwise(F.aggregate(steps, F.lit(1).cast("bigint"), lambda c, i: F.call_function("div", c * (n - i), i + 1)))
+
+
+def combination_at(items: Column, size: int, rank: Column) -> Column:
+    """The combination of `size` of the items with this number, from 0, in the items' order: with c combinations of r of the m items that are left,
+    c * r / m hold the first of them."""
+    start = F.struct(rank.cast("bigint").alias("rank"), combination_count(F.size(items), size).alias("c"), F.lit(size).cast("bigint").alias("r"), F.size(items).cast("bigint").alias("m"), F.slice(items, 1, 0).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        with_it = F.call_function("div", s["c"] * s["r"], s["m"])
+        takes = s["rank"] < with_it
+        return F.struct(
+            F.when(takes, s["rank"]).otherwise(s["rank"] - with_it).alias("rank"), F.when(takes, with_it).otherwise(s["c"] - with_it).alias("c"),
+            F.when(takes, s["r"] - 1).otherwise(s["r"]).alias("r"), (s["m"] - 1).alias("m"), F.when(takes, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.aggregate(items, start, step, lambda s: s["out"])
+
+
+def rolling_hash(text: Column, start: int = 1125899906842597) -> Column:
+    """h = 31 * h + unit over the UTF-16 units of text, from start, modulo 2^64 as a signed number. The halves are kept apart, so that nothing
+    overflows under ANSI rules."""
+    over = lambda c: c - 0x10000
+    units = F.flatten(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(F.ascii(c) < 0x10000, F.array(F.ascii(c))).otherwise(F.array(F.shiftright(over(F.ascii(c)), 10) + 0xD800, over(F.ascii(c)).bitwiseAND(F.lit(0x3FF)) + 0xDC00))))
+    low = F.lit((1 << 32) - 1)
+
+    def step(h: Column, c: Column) -> Column:
+        below = h["low"] * 31 + c
+        return F.struct((h["high"] * 31 + F.shiftright(below, 32)).bitwiseAND(low).alias("high"), below.bitwiseAND(low).alias("low"))
+
+    parts = F.struct(F.lit(start >> 32 & (1 << 32) - 1).cast("bigint").alias("high"), F.lit(start & (1 << 32) - 1).cast("bigint").alias("low"))
+    return F.aggregate(units, parts, step, lambda h: F.shiftleft(h["high"], 32).bitwiseOR(h["low"]))
+
+
+def natural_partition(key: Column, partitions: int) -> Column:
+    """The partition of a text key among so many: its rolling hash's remainder, without the sign; 0 for null."""
+    return F.coalesce(F.abs(rolling_hash(key) % partitions).cast("int"), F.lit(0))
+
+
 def sorted_combinations(items: list, size: int | None = None) -> list[list]:
     """The same of a Python list."""
     own = sorted(set(items))

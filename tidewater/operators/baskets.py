@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.scalars import ROW_ITEMS, every_subset, subsets
+from tidewater.functions.scalars import RANKS, ROW_ITEMS, combination_at, combination_count, every_subset, subsets
 from tidewater.lineage import cut, drop
 
 
@@ -19,6 +19,18 @@ def supports(df: DataFrame, items: str, size: int) -> DataFrame:
     return df.select(F.explode(subsets(F.col(items), size)).alias("itemset")).groupBy("itemset").agg(F.count("*").alias("support"))
 
 
+def ranked_combinations(df: DataFrame, items: str, size: int, block: int = RANKS) -> DataFrame:
+    """df with rank and combination, for each combination of `size` of the distinct items of a row that has an array, in sorted order. A combination is computed from its
+    number; numbers are dealt out in blocks to all tasks, so a row's combinations never stand together."""
+    own = df.withColumn(items, F.array_sort(F.array_distinct(F.array_compact(items))))
+    count = combination_count(F.size(items), size)
+    last = F.call_function("div", count - 1, F.lit(block)).cast("bigint")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.where(F.col(items).isNotNull() & (count > 0)).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition(parts)
+    ranks = F.sequence(F.col("_block") * block, F.least((F.col("_block") + 1) * block, count) - 1)
+    return dealt.withColumn("rank", F.explode(ranks)).drop("_block").withColumn("combination", combination_at(F.col(items), size, F.col("rank")))
+
+
 def _small_sets(own: DataFrame, max_size: int | None) -> DataFrame:
     """itemset, support of all sets of own(items, n), made in each row. Rows are dealt out evenly, since a row's sets are many."""
     sets = every_subset(F.col("items"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.scalars import natural_partition
+
 
 def top_n(df: DataFrame, key: str, n: int, tie_break: list[str]) -> DataFrame:
     """The n largest distinct keys with one record each (the first by tie_break) and their rank. Records are thinned to one a
@@ -50,6 +52,11 @@ def secondary_sort(df: DataFrame, key: str | list[str], value: str, total: bool
     return dealt.sortWithinPartitions(*order)
 
 
+def by_natural_key(df: DataFrame, key: str, partitions: int, *order: str) -> DataFrame:
+    """Rows in the partition that natural_partition() names for their key, sorted there by the key and then order."""
+    return df.repartitionById(partitions, natural_partition(F.col(key).cast("string"), partitions)).sortWithinPartitions(key, *order)
+
+
 def joined_values(df: DataFrame, key: list[str], value: Column, text: Column, closing: str = ",") -> DataFrame:
     """key parts joined, and the values of each key as text, largest first, each with a closing sign."""
     pairs = F.sort_array(F.collect_list(F.struct(value.alias("v"), text.alias("t"))), asc=False)

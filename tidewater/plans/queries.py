@@ -143,6 +143,16 @@ def w15_moving_average(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.round("avg", 4).alias("avg"))
 
 
+@query("""
+SELECT o_orderkey, round(avg(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS avg,
+  max(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS high FROM orders""")
+def w15_one_long_series(spark: SparkSession, d: str) -> DataFrame:
+    """All orders as one series, worked on by many tasks."""
+    rows = read_table(spark, d, "orders").select(F.lit("all").alias("series"), "o_orderdate", "o_orderkey", "o_totalprice")
+    out = sequences.over_split_series(rows, "series", ["o_orderdate", "o_orderkey"], 9, avg=lambda w: F.avg("o_totalprice").over(w), high=lambda w: F.max("o_totalprice").over(w))
+    return out.select("o_orderkey", F.round("avg", 4).alias("avg"), "high")
+
+
 @query("""
 WITH p AS (SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS price FROM orders GROUP BY 1, 2)
 SELECT symbol, strftime(date, '%Y-%m-%d') AS date, round(avg(price) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS avg FROM p""")
@@ -206,6 +216,26 @@ def _graph(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.col("x.user_id").alias("src"), F.col("y.user_id").alias("dst"))
 
 
+@query("""
+WITH n AS (SELECT DISTINCT p_brand AS n FROM part)
+SELECT row_number() OVER (ORDER BY a.n, b.n, c.n, d.n) - 1 AS rank, a.n || ',' || b.n || ',' || c.n || ',' || d.n AS combination
+FROM n a JOIN n b ON a.n < b.n JOIN n c ON b.n < c.n JOIN n d ON c.n < d.n""")
+def w35_ranked_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """Each four of the brands, from their number."""
+    names = read_table(spark, d, "part").agg(F.collect_set("p_brand").alias("brands"))
+    return baskets.ranked_combinations(names, "brands", 4, 512).select("rank", F.array_join("combination", ",").alias("combination"))
+
+
+@query("""
+WITH k AS (SELECT event_id, CAST(user_id AS VARCHAR) || '-' || event_type AS key FROM events),
+h AS (SELECT event_id, list_reduce(list_prepend(1125899906842597::HUGEINT, list_transform(string_split(key, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (31 * h + c) % 18446744073709551616) AS h FROM k)
+SELECT event_id, CAST(abs((CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END) % 13) AS BIGINT) AS part FROM h""")
+def o07_natural_key_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """The partition that each event is in."""
+    rows = read_table(spark, d, "events").select("event_id", F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("key"))
+    return ranking.by_natural_key(rows, "key", 13, "event_id").select("event_id", F.spark_partition_id().cast("bigint").alias("part"))
+
+
 @query(f"""
 WITH {_GRAPH}, z AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)
 SELECT e.a AS p, e.b AS q, coalesce(string_agg(CAST(x.b AS VARCHAR), ',' ORDER BY x.b), '') AS common
