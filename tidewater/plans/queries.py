@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.scalars import date_range, date_text, list_text, weekday
 from tidewater.operators import baskets, classifiers, graphs, joins, ranking, sequences, similarity, trips
 from tidewater.sources.readers import literal, read_table
+from tidewater.streaming.averages import means_of
 from tidewater.streaming.trips import windowed_counts
 
 QUERIES = {}
@@ -383,3 +384,14 @@ def x01_windowed_trips(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
+
+
+@query("""
+SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS avg
+FROM events WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events)""")
+def u04_streaming_average(spark: SparkSession, d: str) -> DataFrame:
+    """The moving average as a state over a stream, of all events before the watermark at its end."""
+    # a stream reads a folder or a pattern, and the table may be one file
+    schema = read_table(spark, d, "events").schema
+    out = means_of(spark, f"{d}/events.parque[t]", schema, "user_id", "ts", "event_id", "value")
+    return out.select("user_id", "event_id", r6(F.col("avg")).alias("avg"))
