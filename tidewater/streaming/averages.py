@@ -25,36 +25,41 @@ class TrailingMean(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us bigint, tie bigint", "value double, copies bigint")
-        self.last = handle.getValueState("last", "kept array<double>")
+        self.waiting = handle.getListState("waiting", "us bigint, tie bigint, value double")
+        self.last = handle.getValueState("last", "kept array<double>, due bigint")
+
+    def _last(self) -> tuple[list, int | None]:
+        return tuple(self.last.get()) if self.last.exists() else ([], None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        times = set()
-        for r in rows:
-            at = (r["us"], r["tie"])
-            seen = self.waiting.getValue(at) if self.waiting.containsKey(at) else None
-            self.waiting.updateValue(at, (r["value"], 1 if seen is None else seen[1] + 1))
-            times.add(r["us"] // 1000)
-        for ms in times:
-            self.handle.registerTimer(ms)
+        new = [(r["us"], r["tie"], r["value"]) for r in rows]
+        self.waiting.appendList(new)
+        kept, due = self._last()
+        # one timer a series, at its earliest waiting row
+        first = min(us for us, *_ in new) // 1000
+        if due is None or first < due:
+            self.handle.registerTimer(first)
+            self.last.update((list(kept), first))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        # timers may come in any order: the first one settles all rows before the watermark
         passed = timerValues.getCurrentWatermarkInMs()
-        ready = sorted((us, tie) for us, tie in self.waiting.keys() if us // 1000 < passed)
-        if not ready:
-            return
-        kept = list(self.last.get()[0]) if self.last.exists() else []
-        for us, tie in ready:
-            value, copies = self.waiting.getValue((us, tie))
-            for _ in range(copies):
-                kept.append(value)
-                own = [x for x in kept[-self.window :] if x is not None]
-                yield Row(series=key[0], us=us, tie=tie, value=value, avg=sum(own) / len(own) if own else None)
-                kept = kept[-self.window + 1 :] if self.window > 1 else []
-            self.waiting.removeKey((us, tie))
-        self.last.update((kept,))
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted((r for r in rows if r[0] // 1000 < passed), key=lambda r: r[:2])
+        later = [r for r in rows if r[0] // 1000 >= passed]
+        kept = list(self._last()[0])
+        for us, tie, value in ready:
+            kept = [*kept, value][-self.window :]
+            own = [x for x in kept if x is not None]
+            yield Row(series=key[0], us=us, tie=tie, value=value, avg=sum(own) / len(own) if own else None)
+            kept = kept[-self.window + 1 :] if self.window > 1 else []
+        due = min((us for us, *_ in later), default=None)
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(due // 1000)
+        else:
+            self.waiting.clear()
+        self.last.update((kept, None if due is None else due // 1000))
 
     def close(self) -> None:
         pass
