@@ -3,13 +3,16 @@
 Base labels are phrases whose words stand one after the other. Beyond these, short notices are searched with at most ERRORS
 edits each: a notice is split into ERRORS + 1 parts, of which one must stand unchanged wherever the notice does (pigeonhole),
 all parts are looked up at once by an Aho-Corasick automaton, and the regex library verifies the text around each hit with
-bounded errors and reports the span. What stands unchanged as a whole needs no fuzzy search.
+bounded errors and reports the span. A match begins where a word does, and its words hold the names that tell the
+notice apart from others (NAMES): those of up to three letters unchanged, longer ones with at most one edit, so "licensed under the
+bsd license" is no MIT notice. What stands unchanged as a whole needs no fuzzy search.
 
 Words are runs of ASCII letters, digits and all signs beyond ASCII, in lower case; notices are searched in the words joined by
 single spaces, and spans count words. The score is 1 for a base label, else the best notice's share of letters without errors.
 
 Defined results: null text counts as empty (no words, score 0); each row is judged by itself, whether its doc_id is null,
-repeated or not; an empty table gives an empty result; extra columns are ignored.
+repeated or not; an empty table gives an empty result; extra columns are ignored. Very long texts are scanned whole, in one automaton pass; of matches of equal
+errors the first one is taken.
 """
 
 from __future__ import annotations
@@ -35,11 +38,14 @@ NOTICES = {
     "permission to use copy modify and or distribute this software for any purpose": "isc-notice",
     "this work is licensed under a creative commons attribution": "cc-notice",
     "licensed under the mit license": "mit-notice",
+    "released under the mit license": "mit-notice",
     "under the terms of the gnu general public license": "gpl-notice",
     "gnu lesser general public license": "lgpl-notice",
     "this is free and unencumbered software released into the public domain": "unlicense-notice",
     "the above copyright notice and this permission notice shall be included": "mit-notice",
 }
+#: Words that tell notices apart.
+NAMES = {"mit", "apache", "gnu", "lesser", "mozilla", "creative", "commons"}
 ERRORS = 3
 #: Of a notice's letters at most a fifth may differ: short ones allow fewer errors.
 SHARE = 5
@@ -60,6 +66,19 @@ def parts(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def one_edit_at_most(x: str, y: str) -> bool:
+    if abs(len(x) - len(y)) > 1:
+        return False
+    n = next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    return x[n + (len(x) >= len(y)) :] == y[n + (len(y) >= len(x)) :]
+
+
+def holds_names(notice: str, text: str) -> bool:
+    """Whether the words of text have the names of the notice."""
+    words = text.split(" ")
+    return all(name in words or len(name) > 3 and any(one_edit_at_most(name, w) for w in words) for name in notice.split(" ") if name in NAMES)
+
+
 def every_match(pattern, text: str, a: int, b: int):
     """Matches in text[a:b]: the best first, then those before it, which finditer skips, and behind it."""
     open_parts = [(a, b)]
@@ -77,7 +96,7 @@ class Scanner:
 
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
         self.rarest = re.compile(b"|".join(re.escape(max(words, key=len)) for words, _ in self.phrases))
-        self.notices = [(n, label, regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={errors_of(n)}}}")) for n, label in notices.items()]
+        self.notices = [(n, label, regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(n)}){{e<={errors_of(n)}}}")) for n, label in notices.items()]
         self.seeds = ahocorasick.Automaton()
         found: dict[str, list] = {}
         for i, (n, *_) in enumerate(self.notices):
@@ -119,8 +138,13 @@ class Scanner:
                 b = min(b, len(text))
                 while True:
                     at = text.find(notice, a, b)
+                    while at > 0 and text[at - 1] != " ":
+                        at = text.find(notice, at + 1, b)
                     for m in every_match(pattern, text, a, b if at < 0 else at):
-                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                        # a word that the match ends in counts as a whole
+                        rest = text.find(" ", m.end())
+                        if holds_names(notice, text[m.start() : rest if rest >= 0 else None]):
+                            out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
                     if at < 0:
                         break
                     a = at + len(notice)
