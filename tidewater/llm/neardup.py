@@ -18,15 +18,18 @@ row is made for a pair. The work of odd classes grows with their number times th
 
 Defined results: null text counts as empty; documents without words have n_shingles 0 and link with nothing; a null doc_id
 never becomes a component's id while another is there; equal rows are in one component and both kept by `kept`, one of
-them by deduplicated(); an empty table gives an empty result; extra columns are ignored, or kept by deduplicated().
+them by deduplicated(); an empty table gives an empty result; extra columns are ignored, or kept by deduplicated(). Very long texts
+are worked on whole, each by itself, in memory some 20 times their size. Shingles are compared by 64-bit hashes of their words' hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +40,15 @@ from .segmentation import mixed
 
 COORDINATES, MATCHES = 64, 34
 PERCENT = 80
-#: Rows of a tile's side at least and at most, parts that a cluster has before its tiles grow, and bytes of a side.
-TILE, MOST, PARTS, TILE_BYTES = 256, 2048, 16, 8 << 20
+#: Rows of a tile's side at least and at most, parts that a cluster has before its tiles grow, and bytes of a side. Small tiles deal a
+#: cluster out evenly.
+TILE, MOST, PARTS, TILE_BYTES = 96, 1024, 64, 8 << 20
 #: Shingles that are counted at once.
 COLUMNS = 4096
 #: Words of a shingle where no contract says otherwise.
 SHINGLE = 5
 
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-WHITE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+SEED = 41
 _rng = np.random.default_rng(41)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -62,15 +65,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one after the other, and where each text's begin."""
-    data = np.frombuffer(b" ".join(texts).translate(LOWER) + b" ", np.uint8)
-    white = WHITE[data]
-    inside = ~white
-    start = np.flatnonzero(inside & np.concatenate([[True], white[:-1]]))
-    end = np.flatnonzero(white & np.concatenate([[False], inside[:-1]]))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(BASE, len(data)), dtype=np.uint64)])
-    words = mixed((sums[end] - sums[start]) * powers(INVERSE, len(data))[start] + (end - start).astype(np.uint64))
-    return words, np.searchsorted(start, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+    """64-bit hashes of the words of all texts, one after the other, and where each text's begin. Each distinct word is hashed once, by a
+    function that isn't linear in its bytes."""
+    # bytes lower A to Z only, and part at the contract's white space
+    own = [t.lower().split() for t in texts]
+    known = {w: xxhash.xxh3_64_intdigest(w, SEED) for w in set(chain.from_iterable(own))}
+    edges = np.cumsum([0, *map(len, own)])
+    return np.fromiter(map(known.__getitem__, chain.from_iterable(own)), np.uint64, edges[-1]), edges
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
