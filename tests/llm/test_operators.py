@@ -323,15 +323,15 @@ def test_quality_finds_the_bad_class(spark):
 
 def plain_em(votes):
     """The weights that EM over rows of votes gives, row by row."""
-    c, n = quality.PRIOR_WEIGHT, len(votes[0])
+    n = len(votes[0])
     g = [0.5 + 0.5 * sum(v) / sum(map(abs, v)) if any(v) else 0.5 for v in votes]
-    for _ in range(quality.ROUNDS + 1):
+    for _ in range(101):
         w = [math.log((sum(g) + 1) / (len(g) - sum(g) + 1))]
         for j in range(n):
             said = [(x, y) for x, y in zip(g, votes, strict=True) if y[j]]
             good, bad = sum(x for x, _ in said), sum(1 - x for x, _ in said)
-            p = (sum(x for x, y in said if y[j] == 1) + quality.PASSES_GOOD * (1 + c * good)) / (1 + (1 + c) * good)
-            q = (sum(1 - x for x, y in said if y[j] == -1) + quality.FINDS_BAD * (1 + c * bad)) / (1 + (1 + c) * bad)
+            p = (sum(x for x, y in said if y[j] == 1) + 0.95 * 20) / (good + 20)
+            q = (sum(1 - x for x, y in said if y[j] == -1) + 0.5 * 20) / (bad + 20)
             w += [math.log(p / (1 - q)), math.log((1 - p) / q)]
         odds = [w[0] + sum({1: w[2 * j + 1], -1: w[2 * j + 2], 0: 0.0}[x] for j, x in enumerate(v)) for v in votes]
         g = [1 / (1 + math.exp(-x)) for x in odds]
@@ -353,6 +353,24 @@ def test_quality_fit_is_that_of_plain_em(spark, share):
     assert np.mean((np.array(g) >= 0.5) == good) > 0.93
 
 
+def test_priors_fade_with_more_documents(spark):
+    """The rate that a rule has among votes is estimated ever closer, the more there are."""
+    names, off = ["a", "b", "c"], []
+    for n in (1, 100):
+        votes = [(1, 1, 1)] * (70 * n) + [(-1, 1, 1)] * (30 * n) + [(-1, -1, -1)] * (100 * n)
+        w = quality.fit(spark.createDataFrame(votes, "a int, b int, c int"), names)
+        # of good rows, which b and c show, 0.7 pass a; of bad ones all fail it
+        off.append(abs(w[1] - math.log(0.7 / (1 - (100 * n + 10) / (100 * n + 20)))))
+    assert off[1] < off[0] / 5
+
+
+def test_keys_of_any_length_link(spark):
+    key = "Ab3" * 50
+    docs = spark.createDataFrame([(1, f"user: alice99 key {key} end"), (2, f"key {key} alone"), (3, f"user: alice99 key {key}= end")], "doc_id bigint, text string")
+    kinds = {r["doc_id"]: {k for k in ("user", "key") if f"{k}:" in r["spans"]} for r in secrets.scanned(docs, ["doc_id"]).select("row.doc_id", secrets.said(F.col("found")).alias("spans")).collect()}
+    assert kinds == {1: {"user", "key"}, 2: set(), 3: set()}
+
+
 def brute_repeats(rows):
     where = Counter()
     for _, t in rows:

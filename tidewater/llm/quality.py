@@ -5,7 +5,7 @@ most 3 ** rules rows, whatever the input) estimates each rule's accuracy and the
 verdict is the posterior probability that it is good. The fit runs as one SQL expression over the pattern table.
 
 It starts from the rules' majority, so that the classes can't trade places, and each rate has a Beta prior with a stated mean
-that weighs PRIOR_WEIGHT of the class's own votes: estimates follow the data at every size, and none becomes 0 or 1.
+that counts as much as PSEUDO_VOTES votes: none becomes 0 or 1, and with more documents estimates follow the data alone.
 
 Defined results: null text counts as empty (no words, base_failed); doc_id may be null or repeat, each row is judged by
 itself; an empty table gives an empty result; extra columns are ignored.
@@ -25,8 +25,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 ROUNDS = 100
-#: Means of the priors of what a rule passes of good documents and finds of bad ones, and their weight.
-PASSES_GOOD, FINDS_BAD, PRIOR_WEIGHT = 0.95, 0.5, 0.1
+#: Means of the priors of what a rule passes of good documents and finds of bad ones, and the votes that they count as.
+PASSES_GOOD, FINDS_BAD, PSEUDO_VOTES = 0.95, 0.5, 20.0
 THRESHOLD = 0.5
 
 
@@ -102,8 +102,7 @@ def fit(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> list[float]
     expect = f"transform(p, x -> named_struct('v', x.v, 'g', x.c / (1D + exp(-(w[0] + {odds}))), 'c', x.c))"
     total = lambda value: f"aggregate(e, 0D, (s, x) -> s + {value})"
     share = f"({total('x.g')} + 1D) / ({total('x.c')} + 2D)"
-    # the one pseudo-vote stands for a rule that never votes in a class
-    rate = lambda hits, votes, mean: f"({hits} + {mean}D * (1D + {PRIOR_WEIGHT}D * {votes})) / (1D + {1 + PRIOR_WEIGHT}D * {votes})"
+    rate = lambda hits, votes, mean: f"({hits} + {mean * PSEUDO_VOTES}D) / ({votes} + {PSEUDO_VOTES}D)"
     rates = []
     for j in range(n):
         rates.append(rate(total(f"IF(x.v[{j}] = 1, x.g, 0D)"), total(f"IF(x.v[{j}] = 0, 0D, x.g)"), PASSES_GOOD))
