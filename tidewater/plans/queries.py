@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import date_range, date_text, list_text, weekday
 from tidewater.operators import baskets, classifiers, graphs, joins, ranking, sequences, similarity, trips
 from tidewater.sources.readers import literal, read_table
+from tidewater.sources.tables import bucketed
 from tidewater.streaming.averages import means_of
 from tidewater.streaming.trips import windowed_counts
 
@@ -88,6 +91,16 @@ def w08_left_join_label(spark: SparkSession, d: str) -> DataFrame:
     return _locations(spark, d, "label")
 
 
+@query(f"SELECT l_partkey, count(DISTINCT coalesce(CAST(s_nationkey AS VARCHAR), 'unknown')) AS n FROM {_SIDES} GROUP BY l_partkey")
+def w08_bucketed_join(spark: SparkSession, d: str) -> DataFrame:
+    """The same from tables that are bucketed by the join's key."""
+    name = uuid4().hex
+    users = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    users = bucketed(users, f"suppliers_{name}", ["l_suppkey"], 16)
+    tx = bucketed(read_table(spark, d, "lineitem").select("l_partkey", "l_suppkey"), f"lineitems_{name}", ["l_suppkey"], 16)
+    return joins.location_counts(tx, users, "l_suppkey", "l_partkey", "s_nationkey", "label")
+
+
 @query(f"SELECT l_partkey, count(DISTINCT s_nationkey) AS n FROM {_SIDES} GROUP BY l_partkey")
 def w09_left_join_ignore(spark: SparkSession, d: str) -> DataFrame:
     return _locations(spark, d, "ignore")
