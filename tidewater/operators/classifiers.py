@@ -28,14 +28,16 @@ def train_naive_bayes(df: DataFrame, attributes: list[str], label: str) -> tuple
 def naive_bayes(records: DataFrame, attributes: list[str], table: DataFrame, classes: DataFrame, prior: DataFrame) -> DataFrame:
     """The attributes of each distinct record with its likeliest class: prior (1 where there is none) times the attributes'
     probabilities (0 where there is none); of equally likely ones the smallest. Records are thinned to distinct ones first."""
-    distinct = records.select(*attributes).distinct().select(F.struct(*attributes).alias("rec"), F.array(*attributes).alias("attrs"))
-    classes = classes.select("label").distinct().join(prior, "label", "left")
-    # classes are few; probabilities grow with the attributes' values, so the optimizer chooses their join
-    scores = distinct.crossJoin(F.broadcast(classes)).select("rec", "label", F.coalesce("prior", F.lit(1.0)).alias("prior"), F.explode("attrs").alias("attr"))
-    scores = scores.join(table, ["attr", "label"], "left")
-    scores = scores.groupBy("rec", "label").agg((F.first("prior") * F.product(F.coalesce("prob", F.lit(0.0)))).alias("score"))
-    first = Window.partitionBy("rec").orderBy(F.desc("score"), "label")
-    return scores.withColumn("place", F.row_number().over(first)).where("place = 1").select("rec.*", F.col("label").alias("best"), "score")
+    rec = F.struct(*attributes).alias("rec")
+    distinct = records.select(*attributes).distinct().select(rec, F.array(*attributes).alias("attrs"))
+    known = classes.select("label").distinct().join(prior, "label", "left").select("label", F.coalesce("prior", F.lit(1.0)).alias("prior"))
+    # a class that lacks one of a record's attributes has a score of 0: only those that have all of them are joined
+    each = distinct.select("rec", F.size("attrs").alias("n"), F.explode("attrs").alias("attr")).join(table, "attr").join(known, "label")
+    scores = each.groupBy("rec", "label").agg(F.first("n").alias("n"), F.count("*").alias("k"), (F.first("prior") * F.product(F.coalesce("prob", F.lit(0.0)))).alias("score"))
+    best = scores.where("n = k AND score > 0").groupBy("rec").agg(F.min_by(F.struct("label", "score"), F.struct(-F.col("score"), "label")).alias("b"))
+    none = known.agg(F.min("label").alias("least"))  # one row
+    out = distinct.select("rec").alias("d").join(best.alias("s"), F.col("d.rec").eqNullSafe(F.col("s.rec")), "left").join(none, F.lit(True))
+    return out.where("least IS NOT NULL").select("d.rec.*", F.coalesce("b.label", "least").alias("best"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
 def k_means(df: DataFrame, vector: str, k: int = 3, max_iter: int = 10, seed: int = 42):

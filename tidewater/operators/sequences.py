@@ -21,8 +21,9 @@ def relative_frequency(df: DataFrame, tokens: str, window: int = 2) -> DataFrame
     ahead = df.where(n > 1).select(F.inline(F.concat(*shifted))).groupBy("word", "neighbor").agg(F.count("*").alias("n"))
     both = ahead.select(F.inline(F.array(F.struct("word", "neighbor", "n"), F.struct(F.col("neighbor").alias("word"), F.col("word").alias("neighbor"), "n"))))
     pairs = both.groupBy("word", "neighbor").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("word"))
-    return pairs.select("word", "neighbor", (F.col("n") / total).alias("rf"))
+    # sums are partial and their join can be split: a hot word's neighbours meet in no single task
+    totals = pairs.groupBy(F.col("word").alias("of")).agg(F.sum("n").alias("total"))
+    return pairs.join(totals, F.col("word").eqNullSafe(F.col("of"))).select("word", "neighbor", (F.col("n") / F.col("total")).alias("rf"))
 
 
 def clean_tokens(df: DataFrame, tokens: str) -> DataFrame:

@@ -32,8 +32,8 @@ def day_type(date: Column, calendar: Column | None = None) -> Column:
 
 
 def day_types(df: DataFrame, date: str, calendar: DataFrame | None = None) -> DataFrame:
-    """df with day_type; calendar(date, type) holds exceptions, a few dozen a year."""
+    """df with day_type; calendar(date, type) holds exceptions, a few dozen a year; its size decides how it is joined."""
     if calendar is None:
         return df.withColumn("day_type", day_type(F.col(date)))
     known = calendar.select(F.col("date").alias("_date"), F.col("type").alias("_type"))
-    return df.join(F.broadcast(known), F.col(date) == F.col("_date"), "left").withColumn("day_type", day_type(F.col(date), F.col("_type"))).drop("_date", "_type")
+    return df.join(known, F.col(date) == F.col("_date"), "left").withColumn("day_type", day_type(F.col(date), F.col("_type"))).drop("_date", "_type")
