@@ -734,6 +734,7 @@ def test_vectors_across_shards(spark, monkeypatch, shared):
 def test_empty_tables(spark, nothing, tmp_path):
     nothing.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     from tidewater.llm.registry import QUERIES
 
     for name, f in QUERIES.items():
